@@ -69,7 +69,6 @@ BASE = f"""WITH {SECTIONS}, p AS (SELECT fta_name, title, text, {_ART} AS p FROM
      ELSE list_concat(cs[:list_position(cs, raw) - 1], cs[list_position(cs, raw) + 1:]) END AS ds FROM cl),
   clause AS (SELECT fta_name, title, chapter, article, art_identifier, unnest(ds) AS text0,
      CAST(unnest(range(1, len(ds) + 1)) AS INTEGER) AS clauseno FROM cl2)"""
-# an empty slice p[1:0] is the whole list in some engines, so titles at position one are handled through list_position above
 
 CLEAN_SQL = (
     f"regexp_replace(regexp_replace(strip_accents(trim(regexp_replace(translate(@, '{L.SPECIAL_CHARACTERS}', ''), '{WS}+', ' ', 'g'))), "
@@ -121,7 +120,8 @@ def split_clauses_text(spark, sf):
 
 
 _PARA = f"""fallback AS (SELECT fta_name, title, unnest(list_transform(regexp_split_to_array(text, '{L.PARAGRAPH_BREAK}'),
-     lambda s: replace(s, chr(10), ' '))) AS text0 FROM p WHERE len(p) = 1)"""
+     lambda s: replace(s, chr(10), ' '))) AS text0 FROM p
+     WHERE (fta_name, title) NOT IN (SELECT (fta_name, title) FROM clause))"""
 
 
 @query(

@@ -6,7 +6,7 @@ caller explodes them, so segmentation itself never shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also inside a lambda (where Spark shares nothing)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim blanks of any kind at both ends."""
     return F.regexp_replace(c, f"^{L.BLANK}+|{L.BLANK}+$", "")
@@ -77,7 +82,7 @@ def article_clauses(piece: str | Column, raw_title: str | Column) -> Column:
     """Clauses of an article in order, newlines as blanks, without the title line."""
     parts = split_in_turn(piece, L.CLAUSE_MARKS)
     tidy = F.transform(parts, lambda s: strip(F.replace(s, F.lit("\n"), F.lit(" "))))
-    return _drop_first(tidy, _col(raw_title))
+    return let(tidy, lambda t: _drop_first(t, _col(raw_title)))
 
 
 def xml_text(c: str | Column, keep_words_apart: bool = True) -> Column:
@@ -159,35 +164,46 @@ def text_clauses(docs: DataFrame, agreement: str, title: str, text: str) -> Data
     """One row per clause of a text corpus: the structured rows, then the fallback paragraphs.
 
     Columns: agreement, title, chapter, article, art_identifier, clauseno, text.
-    A document without any article heading gives its paragraphs with null structure.
+    A document that yields no clause this way gives its paragraphs with null structure.
     """
     flat = F.replace(F.col(text), F.lit(" "), F.lit(" "))
     base = docs.select(F.col(agreement), F.col(title), flat.alias("_text")).withColumn("_p", article_pieces("_text"))
-    heads = base.withColumn("_chapter", chapter_title(F.get("_p", F.lit(0)), F.col(title)))
-    arts = heads.select(
+    pieces = F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))
+    titled = base.select(
         agreement,
         title,
-        "_chapter",
         "_text",
-        F.size("_p").alias("_n"),
-        F.posexplode_outer(F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))).alias("art_identifier", "_piece"),
-    ).withColumn("_raw", raw_article_title("_piece"))
-    listed = arts.withColumn(
-        "_rows",
-        F.when(F.col("_n") == 1, paragraphs("_text")).when(
-            F.col("_raw").isNotNull(), article_clauses("_piece", "_raw")
+        chapter_title(F.get("_p", F.lit(0)), F.col(title)).alias("_chapter"),
+        F.transform(
+            pieces, lambda x, i: F.struct(i.alias("art"), x.alias("piece"), raw_article_title(x).alias("raw"))
+        ).alias("_a"),
+    )
+    cut = titled.withColumn(
+        "_a",
+        F.transform(
+            F.filter("_a", lambda s: s["raw"].isNotNull()),
+            lambda s: F.struct(s["art"], s["raw"], article_clauses(s["piece"], s["raw"]).alias("clauses")),
         ),
     )
+    structured = F.exists("_a", lambda s: F.size(s["clauses"]) > 0)
+    plain = F.struct(
+        F.lit(None).cast("int").alias("art"),
+        F.lit(None).cast("string").alias("raw"),
+        paragraphs("_text").alias("clauses"),
+    )
+    listed = cut.select(
+        agreement, title, "_chapter", F.explode(F.when(structured, F.col("_a")).otherwise(F.array(plain))).alias("_a")
+    )
     rows = listed.select(
-        agreement, title, "_chapter", "art_identifier", "_raw", "_n", F.posexplode("_rows").alias("_i", "_row")
+        agreement, title, "_chapter", "_a.art", "_a.raw", F.posexplode("_a.clauses").alias("_i", "_row")
     )
-    structured = F.col("_n") > 1
+    in_article = F.col("art").isNotNull()
     return rows.select(
         agreement,
         title,
-        F.when(structured, F.col("_chapter")).alias("chapter"),
-        F.when(structured, article_title("_raw")).alias("article"),
-        F.when(structured, F.col("art_identifier")).alias("art_identifier"),
-        F.when(structured, F.col("_i") + 1).alias("clauseno"),
+        F.when(in_article, F.col("_chapter")).alias("chapter"),
+        article_title("raw").alias("article"),
+        F.col("art").alias("art_identifier"),
+        F.when(in_article, F.col("_i") + 1).alias("clauseno"),
         clean("_row", CLAUSE_STEPS).alias("text"),
     )
