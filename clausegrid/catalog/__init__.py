@@ -1,6 +1,6 @@
 """All registered queries; importing the package fills the registry."""
 
-from clausegrid.catalog import panel, segment, sources, text  # noqa: F401
+from clausegrid.catalog import frames, panel, segment, sources, text  # noqa: F401
 from clausegrid.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
