@@ -123,7 +123,6 @@ def affinity(
     damping: float = 0.5,
     rounds: int = 200,
     settle: int = 15,
-    per_write: int = 5,
 ) -> DataFrame:
     """(id, exemplar): exemplar clustering by message passing over given similarities.
 
@@ -161,11 +160,11 @@ def affinity(
             F.least(F.lit(0.0), F.col("_rkk") + F.col("_sum") - mine)
         )
         state = sent.join(support, "k").withColumn("a", keep * F.col("a") + new * avail).select("i", "k", "s", "r", "a")
-        if it % per_write == 0 or it == rounds:
-            state = materialize(state, "messages")
+        state = materialize(state, "messages")
+        if it % 5 == 0:
             marks = state.where((F.col("i") == F.col("k")) & (F.col("r") + F.col("a") > 0)).select("i")
             now = marks.agg(F.count(F.lit(1)), F.sum(F.xxhash64("i").cast("decimal(38,0)"))).first()
-            quiet = quiet + per_write if now == before and now[0] else 0
+            quiet = quiet + 5 if now == before and now[0] else 0
             before = now
             if quiet >= settle:
                 break
