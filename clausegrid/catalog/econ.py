@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from clausegrid import fixtures as fx
 from clausegrid.catalog.base import query, with_cte
-from clausegrid.catalog.panel import SOURCES, kept_clauses, wide_trade_panel
+from clausegrid.catalog.panel import kept_clauses
 from clausegrid.econ import glm, hdfe, ols, pcr
 from clausegrid.operators import panel as P
 from clausegrid.operators.lookups import join_null_safe
+from clausegrid.plans import gravity
 from clausegrid.session import load, materialize
 
 EFFECTS = [["exporter", "importer"], ["exporter", "year"], ["importer", "year"]]
 PAIR = [["exporter", "importer"]]
+TOL = 1e-6
 
 
 def trade_with_counts(spark, sf):
@@ -67,30 +69,41 @@ def fe_ols(spark, sf):
 def fe_glm(spark, sf):
     return glm.fe_glm(
         trade_with_counts(spark, sf), "export_value", ["n_clauses", "n_english"], EFFECTS, "poisson",
-        clusters=[["exporter", "year"], ["importer", "year"]],
+        clusters=[["exporter", "year"], ["importer", "year"]], tol=TOL,
     ).tidy(spark, "poisson")
 
 
 @query("fe_glm_gaussian")
 def fe_glm_gaussian(spark, sf):
-    return glm.fe_glm(trade_with_counts(spark, sf), "export_value", ["n_clauses", "n_english"], EFFECTS, "gaussian").tidy(spark, "gaussian")
+    return glm.fe_glm(trade_with_counts(spark, sf), "export_value", ["n_clauses", "n_english"], EFFECTS, "gaussian", tol=TOL).tidy(spark, "gaussian")
 
 
 @query("fe_glm_negbin")
 def fe_glm_negbin(spark, sf):
     effects = [["exporter"], ["importer"], ["year"]]
-    return glm.fe_glm(trade_with_counts(spark, sf), "export_value", ["n_clauses"], effects, "negbin").tidy(spark, "negbin")
+    return glm.fe_glm(trade_with_counts(spark, sf), "export_value", ["n_clauses"], effects, "negbin", tol=TOL).tidy(spark, "negbin")
 
 
-def _chapter_panel(spark, sf):
-    return materialize(wide_trade_panel(spark, sf), "wide")
+LANGS = ["en", "fr", "de", "es"]
+
+
+def _wide(spark, sf):
+    """Trade rows with one clause count per article type (the languages, whose counts differ between agreements)."""
+    sums = P.pair_year_sums(
+        kept_clauses(spark, sf).select("rta_id", "article_cat"),
+        fx.agreements(spark, sf),
+        {"cumulative": F.count(F.lit(1))},
+        *fx.YEARS,
+        key="article_cat",
+        only_active=True,
+    )
+    wide = P.pivot_panel(sums, [*P.PAIR, "year"], "article_cat", LANGS, ["cumulative"])
+    return materialize(P.panel_left_join(fx.trade(spark, sf), wide, [f"{c}_cumulative" for c in LANGS]), "wide")
 
 
 @query("sub_regressions")
 def sub_regressions(spark, sf):
-    wide = _chapter_panel(spark, sf)
-    groups = {s: [f"{s}_cumulative"] for s in SOURCES[:3]}
-    return glm.sub_regressions(wide, "export_value", groups, [["exporter", "importer"], ["year"]])
+    return gravity.chapter_regressions(_wide(spark, sf), LANGS, effects=[["exporter", "importer"], ["year"]])
 
 
 @query("lagged_regression")
@@ -102,8 +115,8 @@ def lagged_regression(spark, sf):
 
 @query("rank_check")
 def rank_check(spark, sf):
-    wide = _chapter_panel(spark, sf)
-    cols = [f"{s}_cumulative" for s in SOURCES]
+    wide = _wide(spark, sf)
+    cols = [f"{s}_cumulative" for s in LANGS]
     doubled = wide.withColumn("twice", 2 * F.col(cols[0]))
     rank, collinear = ols.rank_check(doubled, [*cols, "twice"])
     return spark.createDataFrame([(len(cols) + 1, rank, ", ".join(collinear))], "n_columns int, rank int, collinear string")
@@ -111,10 +124,10 @@ def rank_check(spark, sf):
 
 @query("coef_table")
 def coef_table(spark, sf):
-    wide = _chapter_panel(spark, sf)
-    fit = ols.fe_ols(wide, "export_value", [f"{s}_cumulative" for s in SOURCES], [["exporter", "importer"]])
+    wide = _wide(spark, sf)
+    fit = ols.fe_ols(wide, "export_value", [f"{s}_cumulative" for s in LANGS], [["exporter", "importer"]])
     names = load(spark, sf, "documents").select(
-        F.concat("source", F.lit("_cumulative")).alias("term"), F.col("source").alias("chapter_cat")
+        F.concat("lang", F.lit("_cumulative")).alias("term"), F.col("lang").alias("article_cat")
     ).distinct()
     return join_null_safe(fit.tidy(spark, "all"), names, ["term"])
 

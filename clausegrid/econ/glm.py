@@ -41,10 +41,12 @@ def _deviance(y: Column, mu: Column, theta: float | None) -> Column:
 
 
 def _irls(
-    df: DataFrame, y: str, xs: list[str], effects: Effects, keys: list[str], theta: float | None, tol: float, max_steps: int
-) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, float, int]:
+    df: DataFrame, y: str, xs: list[str], effects: Effects, keys: list[str], theta: float | None, tol: float, max_steps: int,
+    warm: tuple[DataFrame, dict] | None = None,
+) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, float, int, dict]:
     """Weighted least squares until the deviance settles. Returns the final residual
-    table (xs without effects, ``_w``, ``_mu``, ``_y``), terms, estimates, Gram matrix, deviance, rows.
+    table (xs without effects, raw xs as ``_x_``, ``_w``, ``_mu``, ``_y``), terms, estimates, Gram
+    matrix, deviance, rows and effect estimates. ``warm`` goes on from such a result.
 
     Each step writes its rows once, and its projections go on from the estimates of the
     step before; their tolerance tightens as the steps get smaller.
@@ -56,6 +58,9 @@ def _irls(
     p, dims = len(xs), [f"_r_{x}" for x in xs]
     state = state.withColumn("_eta", F.log((F.col("_y") + F.lit(mean)) / 2))
     last, inner, tables = math.inf, 1e-4, None
+    if warm:
+        table, tables = warm
+        state = table.select(*keys, "_y", *[F.col(f"_x_{x}").alias(x) for x in xs], F.log("_mu").alias("_eta"))
     for _ in range(max_steps):
         mu = F.exp("_eta")
         w = mu if theta is None else mu / (1 + mu / theta)
@@ -75,11 +80,12 @@ def _irls(
         state = flat.withColumn("_eta", F.col("_z") - (F.col("_zt") - fitted))
         dev = state.agg(F.sum(_deviance(F.col("_y"), F.exp("_eta"), theta))).first()[0]
         change = abs(dev - last) / (0.1 + abs(dev))
-        if change < tol and inner <= 1e-8:
-            out = state.select(*keys, "_y", "_w", F.exp("_eta").alias("_mu"), *[F.col(d).alias(x) for x, d in zip(xs, dims)])
-            return out, names, beta, gram[np.ix_(kept, kept)], dev, n
+        if change < tol and inner <= max(tol, 1e-9):
+            raw = [F.col(x).alias(f"_x_{x}") for x in xs]
+            out = state.select(*keys, "_y", "_w", F.exp("_eta").alias("_mu"), *[F.col(d).alias(x) for x, d in zip(xs, dims)], *raw)
+            return out, names, beta, gram[np.ix_(kept, kept)], dev, n, tables
         if change < 1e-2:
-            inner = max(min(inner, change * 1e-2), 1e-9)
+            inner = max(min(inner, change * 1e-1), tol, 1e-9)
         last = dev
     raise RuntimeError(f"no convergence in {max_steps} steps (last change {change:.2e})")
 
@@ -92,7 +98,7 @@ def _digamma(x: Column) -> Column:
     return series - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
 
 
-def estimate_theta(df: DataFrame, y: str, mu: str, lo: float = 1e-3, hi: float = 1e6, rounds: int = 7, grid: int = 12) -> float:
+def estimate_theta(df: DataFrame, y: str, mu: str, lo: float = 1e-3, hi: float = 1e6, rounds: int = 4, grid: int = 40) -> float:
     """Maximum-likelihood dispersion given the means: the zero of the score in theta.
 
     Every job evaluates the score on a whole grid; the bracket shrinks grid-fold per job.
@@ -139,14 +145,17 @@ def fe_glm(
     keys = list(dict.fromkeys(k for e in effects + clusters for k in e))
     live = drop_empty_groups(df.select(*keys, y, *xs), y, effects)
     theta = None
-    state, names, beta, gram, dev, n = _irls(live, y, xs, effects, keys, None, tol, max_steps)
+    first = 1e-3 if family == "negbin" else tol
+    state, names, beta, gram, dev, n, tables = _irls(live, y, xs, effects, keys, None, first, max_steps)
     if family == "negbin":
-        for _ in range(10):
+        for _ in range(20):
             new = estimate_theta(state, "_y", "_mu")
             if theta is not None and abs(new - theta) <= 1e-5 * theta:
                 break
             theta = new
-            state, names, beta, gram, dev, n = _irls(live, y, xs, effects, keys, theta, tol, max_steps)
+            state, names, beta, gram, dev, n, tables = _irls(
+                live, y, xs, effects, keys, theta, tol, max_steps, warm=(state, tables)
+            )
     bread = np.linalg.inv(gram) if names else np.zeros((0, 0))
     score = F.col("_w") * (F.col("_y") - F.col("_mu")) / F.col("_mu")
     cov = bread @ meat(state, names, score, clusters) @ bread if names else bread

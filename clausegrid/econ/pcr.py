@@ -55,7 +55,7 @@ def pc_regression(df: DataFrame, y: str, vec: str) -> DataFrame:
         ssr = max(tss - float((fy[:k] ** 2 / eig[:k]).sum()), 1e-300)
         llf = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
         adj = 1 - (ssr / (n - k - 1)) / (tss / (n - 1)) if n > k + 1 else float("nan")
-        out.append((k, -2 * llf + 2 * (k + 1), -2 * llf + math.log(n) * (k + 1), adj, float(loo[k])))
+        out.append((k, float(-2 * llf + 2 * (k + 1)), float(-2 * llf + math.log(n) * (k + 1)), float(adj), float(loo[k])))
     return df.sparkSession.createDataFrame(out, "k int, aic double, bic double, adj_r2 double, loo double")
 
 
