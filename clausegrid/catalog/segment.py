@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausegrid.catalog.base import query
-from clausegrid.catalog.text import LINES, WS, lines, numbered, tok, NUMBERED
+from clausegrid.catalog.text import LINES, NUMBERED, WS, docs, lines, numbered, tok
 from clausegrid.functions import lexicon as L
 from clausegrid.functions import segment as G
 from clausegrid.functions.text import tokens
 from clausegrid.operators.frames import blanks_to_null
 from clausegrid.operators.scan import forward_fill, position, running_sum
-from clausegrid.session import load
+from clausegrid.session import load, spread
 
 
 def sections(spark, sf):
     """One sub-document per turn: a chapter, two articles and numbered clauses; every 7th has no heading."""
-    c = load(spark, sf, "conversations")
+    c = spread(load(spark, sf, "conversations"), "conv_id")
     turn = F.col("turn").cast("string")
     body = F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n2. "))
     treaty = F.concat(
@@ -221,11 +221,11 @@ def split_clauses_xml(spark, sf):
     lambda s: {strip_sql('s')}), lambda s: s <> '') AS ss FROM documents)
     SELECT doc_id, CAST(unnest(range(len(ss))) AS INTEGER) AS pos, unnest(ss) AS sentence FROM s""")
 def split_sentences(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.posexplode(G.sentences("text")).alias("pos", "sentence"))
+    return docs(spark, sf).select("doc_id", F.posexplode(G.sentences("text")).alias("pos", "sentence"))
 
 
 def listed(spark, sf):
-    return load(spark, sf, "documents").select(
+    return docs(spark, sf).select(
         "doc_id", "lang", F.concat(F.lit("Parties shall: (a) "), F.replace(F.col("text"), F.lit(".\n"), F.lit("; (b) "))).alias("text")
     )
 
@@ -250,7 +250,7 @@ def strip_list_marks(spark, sf):
 @query("paragraph_offsets", """WITH n AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS n FROM documents)
     SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS first_row, CAST(sum(n) OVER (ORDER BY doc_id) - 1 AS BIGINT) AS last_row FROM n""")
 def paragraph_offsets(spark, sf):
-    n = load(spark, sf, "documents").select(
+    n = docs(spark, sf).select(
         "doc_id", F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")).cast("bigint").alias("n")
     )
     return running_sum(n, [], "doc_id", "n", "upto", width=256).select(
@@ -263,7 +263,7 @@ def paragraph_offsets(spark, sf):
        least(len(t) // 2 + 3, len(t)) AS e FROM t)
     SELECT doc_id, CASE WHEN e > s THEN array_to_string(list_slice(t, s + 1, e), ' ') ELSE '' END AS middle FROM b""")
 def middle_k(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.array_join(G.middle(tokens("text"), 4), " ").alias("middle"))
+    return docs(spark, sf).select("doc_id", F.array_join(G.middle(tokens("text"), 4), " ").alias("middle"))
 
 
 @query("clause_number", f"""WITH {LINES} SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS clauseno
@@ -279,7 +279,7 @@ def clause_number(spark, sf):
 def raw_clean_lookup(spark, sf):
     from clausegrid.functions.text import clean
 
-    rows = load(spark, sf, "documents").select(
+    rows = docs(spark, sf).select(
         "doc_id", F.col("text").alias("original"), clean("text", ["to_lower", "remove_whitespace"]).alias("treated")
     )
     lookup = rows.groupBy("treated").agg(F.min_by("original", "doc_id").alias("original"))

@@ -8,7 +8,7 @@ from clausegrid.catalog.base import query
 from clausegrid.functions import lexicon as L
 from clausegrid.functions import text as X
 from clausegrid.operators import tokens as K
-from clausegrid.session import load
+from clausegrid.session import load, spread
 
 WS = L.BLANK
 TOK = f"list_filter(string_split(trim(regexp_replace(@c@, '{WS}+', ' ', 'g')), ' '), lambda t: t <> '')"
@@ -21,7 +21,7 @@ def tok(c: str) -> str:
 
 
 def docs(spark, sf):
-    return load(spark, sf, "documents")
+    return spread(load(spark, sf, "documents"), "doc_id")
 
 
 def on_docs(fn):

@@ -33,6 +33,10 @@ MODALS = ["shall", "must", "may", "will", "should", "can"]
 # Fixed patterns: blanks in the Unicode sense (Java's ASCII class leaves most of them out).
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_BLANK = "[^" + BLANK[1:]
+# the same characters as a plain string
+BLANK_CHARS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
 
 # Fixed patterns: list markers such as "(a) ", " 1. " and " iv) ".
 BULLET = rf"(?:\(|{BLANK})[0-9a-zA-Z][.)]{BLANK}+|(?:\(|{BLANK})[ivxIVX]+[.)]{BLANK}+"

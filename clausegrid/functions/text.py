@@ -111,7 +111,8 @@ def _as_class(chars: Iterable[str]) -> str:
 
 def tokens(c: str | Column) -> Column:
     """Words between blanks, without empty entries."""
-    return F.filter(F.split(squeeze_blanks(c), " "), lambda t: t != "")
+    inner = F.btrim(_col(c), F.lit(L.BLANK_CHARS))
+    return F.when(inner != "", F.split(inner, f"{L.BLANK}+")).when(inner.isNotNull(), F.array().cast("array<string>"))
 
 
 def remove_stopwords(c: str | Column, words: Sequence[str] = tuple(L.STOP_WORDS)) -> Column:

@@ -66,3 +66,11 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, by a hash of the key, if the scan has fewer tasks than the
+    cluster has cores. Large inputs have enough tasks and pass through without a shuffle.
+    For work that costs far more per row than moving the row, such as regular expressions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
