@@ -63,9 +63,7 @@ def global_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     them, so later steps agree on it even if a task is run again. Each
     partition is numbered by itself and shifted by the rows in front of it.
     """
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     fixed = materialize(ranged, "ranged")
     sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
