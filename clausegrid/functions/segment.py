@@ -91,8 +91,9 @@ def xml_text(c: str | Column, keep_words_apart: bool = True) -> Column:
     By default tabs and newlines become blanks; otherwise they vanish, which
     joins words across lines.
     """
-    gap = F.translate(_col(c), "\t\n ", "   ") if keep_words_apart else F.translate(_col(c), " \t\n", " ")
-    return gap
+    if keep_words_apart:
+        return F.translate(_col(c), "\t\n\u00a0", "   ")
+    return F.translate(_col(c), "\u00a0\t\n", " ")
 
 
 def inline_clauses(c: str | Column) -> Column:
@@ -166,7 +167,7 @@ def text_clauses(docs: DataFrame, agreement: str, title: str, text: str) -> Data
     Columns: agreement, title, chapter, article, art_identifier, clauseno, text.
     A document that yields no clause this way gives its paragraphs with null structure.
     """
-    flat = F.replace(F.col(text), F.lit(" "), F.lit(" "))
+    flat = F.replace(F.col(text), F.lit("\u00a0"), F.lit(" "))
     base = docs.select(F.col(agreement), F.col(title), flat.alias("_text")).withColumn("_p", article_pieces("_text"))
     pieces = F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))
     titled = base.select(
