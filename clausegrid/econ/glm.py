@@ -61,6 +61,7 @@ def _irls(
     if warm:
         table, tables = warm
         state = table.select(*keys, "_y", *[F.col(f"_x_{x}").alias(x) for x in xs], F.log("_mu").alias("_eta"))
+        inner = max(tol, 1e-9)
     for _ in range(max_steps):
         mu = F.exp("_eta")
         w = mu if theta is None else mu / (1 + mu / theta)
@@ -70,10 +71,8 @@ def _irls(
             "step",
         )
         flat, tables = absorb(work, ["_zt", *dims], effects, weight="_w", tol=inner, start=tables)
-        flat = materialize(flat, "flat")
-        gram, n = moments(flat, [*dims, "_zt"], F.col("_w"))
-        size, _ = moments(flat, [F.sqrt("_w")])
-        kept = independent(gram[:p, :p], scale * size[0, 0] / max(n, 1), 1e-10)
+        gram, n = moments(flat, [*dims, "_zt", F.lit(1.0)], F.col("_w"))
+        kept = independent(gram[:p, :p], scale * gram[p + 1, p + 1] / max(n, 1), 1e-10)
         names = [xs[i] for i in kept]
         beta = np.linalg.solve(gram[np.ix_(kept, kept)], gram[kept, p]) if kept else np.zeros(0)
         fitted = sum((F.lit(float(b)) * F.col(dims[i]) for b, i in zip(beta, kept)), F.lit(0.0))
@@ -83,7 +82,7 @@ def _irls(
         if change < tol and inner <= max(tol, 1e-9):
             raw = [F.col(x).alias(f"_x_{x}") for x in xs]
             out = state.select(*keys, "_y", "_w", F.exp("_eta").alias("_mu"), *[F.col(d).alias(x) for x, d in zip(xs, dims)], *raw)
-            return out, names, beta, gram[np.ix_(kept, kept)], dev, n, tables
+            return materialize(out, "fit"), names, beta, gram[np.ix_(kept, kept)], dev, n, tables
         if change < 1e-2:
             inner = max(min(inner, change * 1e-1), tol, 1e-9)
         last = dev
@@ -103,16 +102,14 @@ def estimate_theta(df: DataFrame, y: str, mu: str, lo: float = 1e-3, hi: float =
 
     Every job evaluates the score on a whole grid; the bracket shrinks grid-fold per job.
     """
-    yv, m = F.col(y), F.col(mu)
+    yv, m, t = F.col(y), F.col(mu), F.col("_t")
+    score = _digamma(yv + t) - _digamma(t) + F.log(t) + 1 - F.log(m + t) - (yv + t) / (m + t)
     a, b = math.log(lo), math.log(hi)
     for _ in range(rounds):
         at = [math.exp(a + (b - a) * i / grid) for i in range(grid + 1)]
-        scores = df.agg(
-            *[
-                F.sum(_digamma(yv + t) - _digamma(F.lit(t)) + math.log(t) + 1 - F.log(m + t) - (yv + t) / (m + t))
-                for t in at
-            ]
-        ).first()
+        tried = df.select(y, mu, F.posexplode(F.lit(at)).alias("_i", "_t"))
+        sums = tried.groupBy("_i").agg(F.sum(score).alias("s")).collect()
+        scores = [r["s"] for r in sorted(sums, key=lambda r: r["_i"])]
         if scores[0] <= 0:
             return at[0]
         down = next((i for i in range(1, grid + 1) if scores[i] <= 0), None)
@@ -150,7 +147,7 @@ def fe_glm(
     if family == "negbin":
         for _ in range(20):
             new = estimate_theta(state, "_y", "_mu")
-            if theta is not None and abs(new - theta) <= 1e-5 * theta:
+            if theta is not None and abs(new - theta) <= max(10 * tol, 1e-6) * theta:
                 break
             theta = new
             state, names, beta, gram, dev, n, tables = _irls(
