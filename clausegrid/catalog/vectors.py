@@ -30,7 +30,8 @@ def vectors(spark, sf):
 def nearest_label(spark, sf):
     e = vectors(spark, sf)
     known = e.where("vec_id % 3 <> 0").withColumn("article", F.col("vec_id") % 7)
-    return V.nearest_label(e.where("vec_id % 3 = 0"), known, "vec_id", "embedding", "label", "article")
+    near = V.nearest_label(e.where("vec_id % 3 = 0"), known, "vec_id", "embedding", "label", "article")
+    return near.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("knn_vote", f"""WITH {_E}, s AS (SELECT a.vec_id, b.label, {_DIST} AS d, b.vec_id AS nid FROM e a, e b WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0),
