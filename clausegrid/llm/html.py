@@ -22,6 +22,7 @@ WINDOW_LINES = 3
 FAIR_SHARE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_OPEN_TAG = re.compile(r"<(?=[/!?a-zA-Z])")
 _HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "xmp"}
@@ -51,7 +52,12 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length that counts, inside article or main) of each line, empty lines for gaps."""
     out: list[tuple[str, int, bool]] = []
     held, linked, links, core, at = [], 0, 0, 0, 0
+    whole = page.rfind(">") + 1
+    tail = _OPEN_TAG.split(page[whole:], maxsplit=1)[0]  # a tag that never ends is no text
+    page = page[:whole]
     tokens = list(_TOKEN.finditer(page))
+    if tokens and tokens[-1][0].startswith("<!--") and not tokens[-1][0].endswith("-->"):
+        tail = ""
     names = [(m[2] or m[5] or "").lower() for m in tokens]
     closing = [(m[1] if m[2] else m[4]) == "/" for m in tokens]
 
@@ -87,7 +93,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         at = m.end()
         if name and not closing[k] and name in _RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            at, tail = (stop.end(), tail) if stop else (len(page), "")
             if name not in ("svg", "math"):
                 flush(name != "script")
         elif name and not closing[k] and name not in _VOID and _around(name, m[3] or m[6] or ""):
@@ -103,8 +109,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             if name in ("article", "main"):
                 core = max(0, core + (-1 if closing[k] else 1))
         k += 1
-    if at < len(page):
-        held.append(entities.unescape(page[at:]))
+    held.append(entities.unescape(page[at:] + tail))
     flush(True)
     return out
 

@@ -70,6 +70,8 @@ class Model:
     toxic: bytes
     weights: list[float]
     cut: float
+    low: list[float]  # the range of each figure in the fit; figures beyond it count as its ends
+    high: list[float]
 
     def measure(self, text: str, pair) -> np.ndarray:
         """Figures of one text from the bytes saved in each window."""
@@ -86,7 +88,7 @@ class Model:
         return compressor(self.ordinary).compress, compressor(self.toxic + self.ordinary).compress
 
     def score(self, figures: np.ndarray) -> float:
-        p = 1 / (1 + np.exp(-np.clip(figures @ np.array(self.weights), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.clip(figures, self.low, self.high) @ np.array(self.weights), -30, 30)))
         return float(THRESHOLD * p / self.cut if p < self.cut else THRESHOLD + (1 - THRESHOLD) * (p - self.cut) / (1 - self.cut))
 
 
@@ -142,13 +144,13 @@ def fit(rows: list[tuple[str, int]], ordinary_weight: float = 1.0) -> Model:
     rows = list({t: y for t, y in rows if t}.items())
     y = np.array([float(v) for _, v in rows])
     if min((y == 1).sum(), (y == 0).sum()) < FOLDS:
-        return Model(b"", b"", [-30.0] + [0.0] * (FIGURES - 1), 0.5)
+        return Model(b"", b"", [-30.0] + [0.0] * (FIGURES - 1), 0.5, [1.0] + [0.0] * (FIGURES - 1), [1.0] * FIGURES)
     fold = np.empty(len(rows), int)
     for v in (0, 1):
         fold[y == v] = np.arange((y == v).sum()) % FOLDS
     x = np.empty((len(rows), FIGURES))
     for f in range(FOLDS):
-        part = Model(*dictionaries([r for r, g in zip(rows, fold) if g != f]), [], 0.5)
+        part = Model(*dictionaries([r for r, g in zip(rows, fold) if g != f]), [], 0.5, [], [])
         pair = part.pair()
         for k in np.flatnonzero(fold == f):
             x[k] = part.measure(rows[k][0], pair)
@@ -162,7 +164,7 @@ def fit(rows: list[tuple[str, int]], ordinary_weight: float = 1.0) -> Model:
     below = p[order[k + 1]] if k + 1 < len(y) else 0.0
     cut = (p[order[k]] + below) / 2 if quality[k] else (1 + p.max()) / 2
     cut = float(np.clip(cut, 1e-3, 1 - 1e-6))
-    return Model(*dictionaries(rows), weights.tolist(), cut)
+    return Model(*dictionaries(rows), weights.tolist(), cut, x.min(axis=0).tolist(), x.max(axis=0).tolist())
 
 
 def held_out(key: Column) -> Column:
