@@ -82,7 +82,7 @@ class Model:
         for least in (1, 3, 5):
             gain = np.maximum(saved - least, 0).sum()
             out += [8 * gain / len(saved), np.log1p(gain)]
-        return np.array([*out, np.log1p(len(saved))])
+        return np.array([*out, out[6] * np.log1p(len(saved))])  # length counts only together with evidence
 
     def pair(self):
         return compressor(self.ordinary).compress, compressor(self.toxic + self.ordinary).compress
