@@ -153,6 +153,8 @@ def fe_glm(
             state, names, beta, gram, dev, n, tables = _irls(
                 live, y, xs, effects, keys, theta, tol, max_steps, warm=(state, tables)
             )
+        else:
+            raise RuntimeError("the dispersion did not settle in 20 rounds")
     bread = np.linalg.inv(gram) if names else np.zeros((0, 0))
     score = F.col("_w") * (F.col("_y") - F.col("_mu")) / F.col("_mu")
     cov = bread @ meat(state, names, score, clusters) @ bread if names else bread

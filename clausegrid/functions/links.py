@@ -8,24 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fragments that say nothing about a document, removed from its address in this order.
-NAME_FRAGMENTS = [
-    "https", "http", "media", "files", "non-financial-assistance", "for-companies",
-    "free-trade-agreements", "legal-text", r"\.pdf", "/", ":",
-]
-# Links that never lead to an agreement.
-SKIP_LINKS = ["(?i)terms-of-use", "static_post"]
-
 
 def extract_links(
     pages: DataFrame,
     key: str,
     html: str,
-    keep: Sequence[str] = (),
-    drop: Sequence[str] = tuple(SKIP_LINKS),
-    cut: Sequence[str] = tuple(NAME_FRAGMENTS),
+    keep: Sequence[str],
+    drop: Sequence[str],
+    cut: Sequence[str],
 ) -> DataFrame:
-    """(key, link, name): links matching every ``keep`` and no ``drop`` rule, named by what remains."""
+    """(key, link, name): links matching every ``keep`` and no ``drop`` rule, named by what remains after ``cut``."""
     found = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
     for rule in keep:
         found = found.where(F.col("link").rlike(rule))

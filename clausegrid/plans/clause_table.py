@@ -17,8 +17,9 @@ from clausegrid.session import materialize
 def national_clauses(docs: DataFrame, agreement: str, title: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """Text corpus -> (clause_no, agreement, title, chapter, article, clauseno, text).
 
-    Articles found, titles inferred and filled down, titles and numbers taken out of the
-    text, number words out of chapters, first copy of each clause kept. With a
+    Articles found, titles inferred and filled down, titles taken out of the text, number words out
+    of chapters, first copy of each clause kept, then numbers taken out of the text (clauses that differ
+    in a number are no copies). Titles are filled within the sub-document too, as files have no order. With a
     (token, n) vocabulary, run-together words in the titles are split.
     """
     rows = G.text_clauses(docs, agreement, title, text)
@@ -28,13 +29,12 @@ def national_clauses(docs: DataFrame, agreement: str, title: str, text: str, voc
     rows = forward_fill(rows, [agreement, title, "chapter", "art_identifier"], "clauseno", "article")
     rows = rows.withColumn("text", F.trim(G.strip_leading_title("article", "text")))
     rows = rows.withColumn("chapter", X.strip_number_words(G.before_section("chapter")))
-    rows = rows.withColumn("text", X.drop_cardinals("text"))
     if vocabulary is not None:
         rows = split_titles(split_titles(rows, "chapter", vocabulary), "article", vocabulary)
     place = F.struct(agreement, title, "art_identifier", "clauseno")
     first = rows.groupBy("text").agg(F.min(place).alias("_at")).select("_at.*")
     kept = rows.join(first, [agreement, title, "art_identifier", "clauseno"], "left_semi")
-    return kept.select(agreement, title, "chapter", "article", "clauseno", "text")
+    return kept.withColumn("text", X.drop_cardinals("text")).select(agreement, title, "chapter", "article", "clauseno", "text")
 
 
 def split_titles(df: DataFrame, col: str, vocabulary: DataFrame) -> DataFrame:

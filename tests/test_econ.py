@@ -103,22 +103,22 @@ def test_empty_groups_leave(spark):
 
 
 def test_component_regression_matches_direct_fits(spark):
-    rng = np.random.default_rng(1)
-    f = rng.normal(size=(60, 2))
-    x = f @ np.array([[0.1, 3.0, 1.0, 0.0], [0.0, 0.0, 1.5, 0.1]]) + 0.1 * rng.normal(size=(60, 4))
-    y = f.sum(1) + 0.1 * rng.normal(size=60)
+    n, p = 47, 5
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, p)).cumsum(axis=1) * np.linspace(2.0, 0.5, p)
+    y = 1.5 + 0.7 * x[:, 0] - 0.4 * x[:, 3] + rng.uniform(-1, 1, size=n)
     df = spark.createDataFrame([(float(a), [float(v) for v in b]) for a, b in zip(y, x)], "y double, x array<double>")
     got = {r.k: r for r in pcr.pc_regression(df, "y", "x").collect()}
     xc = x - x.mean(0)
     _, _, vt = np.linalg.svd(xc, full_matrices=False)
-    for k in range(5):
-        d = np.column_stack([np.ones(60), xc @ vt.T[:, :k]])
+    for k in range(p + 1):
+        d = np.column_stack([np.ones(n), xc @ vt.T[:, :k]])
         loo = 0.0
-        for i in range(60):
-            keep = np.arange(60) != i
+        for i in range(n):
+            keep = np.arange(n) != i
             b = np.linalg.lstsq(d[keep], y[keep], rcond=None)[0]
             loo += (y[i] - d[i] @ b) ** 2
         b = np.linalg.lstsq(d, y, rcond=None)[0]
         ssr = ((y - d @ b) ** 2).sum()
-        aic = 60 * (np.log(2 * np.pi) + np.log(ssr / 60) + 1) + 2 * (k + 1)
+        aic = n * (np.log(2 * np.pi) + np.log(ssr / n) + 1) + 2 * (k + 1)
         assert abs(got[k].loo - loo) < 1e-6 and abs(got[k].aic - aic) < 1e-6

@@ -237,3 +237,10 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.scratch_root(Session())
+
+
+def test_knn_tells_near_copies_apart(spark):
+    base = spark.createDataFrame([(1, [1000.0, 1000.0]), (2, [1000.0005, 1000.0])], "id long, vec array<double>")
+    query = spark.createDataFrame([(9, [1000.0004999, 1000.0])], "id long, vec array<double>")
+    got = V.knn(V.points(query, "id", "vec", None, "euclidean"), V.points(base, "id", "vec", None, "euclidean"), 1).first()
+    assert got.nid == 2 and abs(got.d - 1e-7) < 1e-9

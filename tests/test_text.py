@@ -108,6 +108,12 @@ def test_national_chain(spark):
     assert all(not r.text.startswith("1.") for r in rows) and {r.chapter for r in rows} == {"Trade Remedies"}
 
 
+def test_clauses_that_differ_in_a_number_stay(spark):
+    text = "CHAPTER 3\nTrade Remedies\n\nArticle 1 \nScope and Purpose\n1. The quota for item 12 applies.\n2. The quota for item 45 applies.\n"
+    rows = national_clauses(spark.createDataFrame([("x", "part", text)], "fta string, title string, body string"), "fta", "title", "body").collect()
+    assert sorted(r.clauseno for r in rows) == [1, 2]
+
+
 def test_inline_clauses_and_lists(spark):
     df = spark.createDataFrame([("1. One. 2. Two. 3. Three.",)], "text string")
     assert [(r.clauseno, r.text) for r in treaty_clauses(df).collect()] == [(1, "One"), (2, "Two"), (3, "Three")]
