@@ -51,17 +51,20 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     links = messages.select("tree", "node", F.col("parent").alias("up"), F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("size"))
     known = links.select("tree", F.col("node").alias("up"), F.lit(True).alias("_there"))
     links = links.join(known, ["tree", "up"], "left").withColumn("up", F.when(F.col("_there"), F.col("up")))
-    steps = [materialize(links.select("tree", "node", "up", "total", "size"), "reach")]
-    while not steps[-1].filter(F.col("up").isNotNull()).isEmpty():
-        if len(steps) > MAX_ROUNDS or (1 << len(steps)) > 2 * max(2, steps[0].count()):
+    start = materialize(links.select("tree", "node", "up", "total", "size"), "reach")
+    steps, done = [start.filter(F.col("up").isNotNull())], start.filter(F.col("up").isNull())
+    while not steps[-1].isEmpty():
+        if len(steps) > MAX_ROUNDS or (1 << len(steps)) > 2 * max(2, start.count()):
             raise ValueError("replies form a circle")
-        near = steps[-1]
-        far = near.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("size").alias("_size"))
-        both = near.join(far, ["tree", "up"], "left")
-        add = lambda c: F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))
-        steps.append(materialize(both.select("tree", "node", F.col("_up").alias("up"), add("total").alias("total"), add("size").alias("size")), "reach"))
-    replied = steps[0].filter(F.col("up").isNotNull()).select("tree", F.col("up").alias("node"))
-    leaves = steps[-1].join(replied, ["tree", "node"], "left_anti")
+        far = steps[-1].union(done)
+        far = far.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("size").alias("_size"))
+        both = steps[-1].join(far, ["tree", "up"])  # messages that have reached their root take no further part
+        both = both.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("size") + F.col("_size")).alias("size"))
+        both = materialize(both, "reach")
+        steps.append(both.filter(F.col("up").isNotNull()))
+        done = done.union(both.filter(F.col("up").isNull()))
+    replied = start.filter(F.col("up").isNotNull()).select("tree", F.col("up").alias("node"))
+    leaves = done.join(replied, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")
     leaves = leaves.withColumn("branch_rank", F.row_number().over(order).cast("long"))
     if keep is not None:
@@ -69,7 +72,7 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     leaves = materialize(leaves.select("tree", F.col("node").alias("leaf"), "branch_rank", F.col("total").alias("branch_score"), "size"), "leaves")
     walked = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("hops"))
     for k in reversed(range(len(steps) - 1)):
-        jump = steps[k].filter(F.col("up").isNotNull()).select("tree", "node", "up")
+        jump = steps[k].select("tree", "node", "up")
         further = walked.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("hops") + (1 << k)).alias("hops"))
         walked = materialize(walked.union(further), "walk")
     return walked.join(leaves, ["tree", "leaf"]).select("tree", "leaf", "branch_rank", "branch_score", (F.col("size") - F.col("hops")).alias("depth"), "node")
