@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.econ.hdfe import Effects, absorb
-from clausegrid.econ.ols import Fit, fe_ols, independent, meat, moments
+from clausegrid.econ.ols import Fit, fe_ols, independent, meat, moments, sandwich, small_sample_factor, summed
 from clausegrid.operators.panel import lag_panel
 from clausegrid.session import materialize
 
@@ -89,33 +89,42 @@ def _irls(
     raise RuntimeError(f"no convergence in {max_steps} steps (last change {change:.2e})")
 
 
-def _digamma(x: Column) -> Column:
+def _digamma(x: np.ndarray | float) -> np.ndarray:
     """Asymptotic series after moving the argument up by six."""
     z = x + 6
     inv2 = 1 / (z * z)
-    series = F.log(z) - 1 / (2 * z) - inv2 * (F.lit(1 / 12) - inv2 * (F.lit(1 / 120) - inv2 * F.lit(1 / 252)))
-    return series - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
+    series = np.log(z) - 1 / (2 * z) - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 / 252))
+    return series - sum(1 / (x + i) for i in range(6))
 
 
-def estimate_theta(df: DataFrame, y: str, mu: str, lo: float = 1e-3, hi: float = 1e6, rounds: int = 4, grid: int = 40) -> float:
+def estimate_theta(
+    df: DataFrame, y: str, mu: str, lo: float = 1e-3, hi: float = 1e6, rounds: int = 4, grid: int = 40, widest: float = 1e9
+) -> float:
     """Maximum-likelihood dispersion given the means: the zero of the score in theta.
 
-    Every job evaluates the score on a whole grid; the bracket shrinks grid-fold per job.
+    Every job evaluates the score on a whole grid; the bracket shrinks grid-fold per job. A bracket
+    that does not hold the zero is moved on; beyond 1 / ``widest`` and ``widest`` there is none, which is an error.
     """
-    yv, m, t = F.col(y), F.col(mu), F.col("_t")
-    score = _digamma(yv + t) - _digamma(t) + F.log(t) + 1 - F.log(m + t) - (yv + t) / (m + t)
-    a, b = math.log(lo), math.log(hi)
-    for _ in range(rounds):
+    rows = df.select(F.col(y).cast("double").alias("y"), F.col(mu).cast("double").alias("m"))
+
+    def scores(at: list[float]) -> np.ndarray:
+        def part(z: np.ndarray) -> np.ndarray:
+            yv, m = z[:, 0], z[:, 1]
+            return np.array([(_digamma(yv + t) - _digamma(t) + math.log(t) + 1 - np.log(m + t) - (yv + t) / (m + t)).sum() for t in at])
+
+        return summed(rows, part, len(at))
+
+    a, b, done = math.log(lo), math.log(hi), 0
+    while done < rounds:
         at = [math.exp(a + (b - a) * i / grid) for i in range(grid + 1)]
-        tried = df.select(y, mu, F.posexplode(F.lit(at)).alias("_i", "_t"))
-        sums = tried.groupBy("_i").agg(F.sum(score).alias("s")).collect()
-        scores = [r["s"] for r in sorted(sums, key=lambda r: r["_i"])]
-        if scores[0] <= 0:
-            return at[0]
-        down = next((i for i in range(1, grid + 1) if scores[i] <= 0), None)
-        if down is None:
-            return at[-1]
-        a, b = math.log(at[down - 1]), math.log(at[down])
+        got = scores(at)
+        if got[0] <= 0 or got[-1] > 0:
+            a, b = (2 * a - b, a) if got[0] <= 0 else (b, 2 * b - a)
+            if max(-b, a) >= math.log(widest):
+                raise RuntimeError("the dispersion has no estimate: the score keeps its sign")
+            continue
+        down = int(np.argmax(got <= 0))
+        a, b, done = math.log(at[down - 1]), math.log(at[down]), done + 1
     return math.exp((a + b) / 2)
 
 
@@ -128,14 +137,16 @@ def fe_glm(
     clusters: list[list[str]] | None = None,
     tol: float = 1e-8,
     max_steps: int = 60,
+    small_sample: bool = False,
 ) -> Fit:
     """Poisson, Gaussian or negative binomial regression with the effects absorbed.
 
     Each effect is a list of key columns, e.g. [exporter, importer]. Standard errors are
-    clustered by the first effect unless ``clusters`` says otherwise (one or two sets).
+    clustered by the first effect unless ``clusters`` says otherwise (one or two sets);
+    ``small_sample`` multiplies the covariance by (n - 1) / (n - K).
     """
     if family == "gaussian":
-        return fe_ols(df, y, xs, effects, clusters, tol)
+        return fe_ols(df, y, xs, effects, clusters, tol, small_sample)
     if family not in ("poisson", "negbin"):
         raise ValueError(f"unknown family {family}")
     clusters = clusters or [effects[0]]
@@ -157,7 +168,9 @@ def fe_glm(
             raise RuntimeError("the dispersion did not settle in 20 rounds")
     bread = np.linalg.inv(gram) if names else np.zeros((0, 0))
     score = F.col("_w") * (F.col("_y") - F.col("_mu")) / F.col("_mu")
-    cov = bread @ meat(state, names, score, clusters) @ bread if names else bread
+    cov = sandwich(bread, meat(state, names, score, clusters)) if names else bread
+    if small_sample:
+        cov = cov * small_sample_factor(state, n, len(names), effects, clusters)
     return Fit(names, beta, cov, n, [x for x in xs if x not in names], dev, theta or float("nan"))
 
 

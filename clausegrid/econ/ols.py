@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,37 @@ from clausegrid.econ.hdfe import Effects, residualize
 from clausegrid.session import materialize
 
 
+def summed(df: DataFrame, part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum of what ``part`` makes of every batch of rows (a matrix of doubles, a column each).
+
+    A task adds its batches up and hands on one array of ``size`` numbers; the arrays are added by position.
+    """
+
+    def task(batches):
+        total = np.zeros(size)
+        for b in batches:
+            total += part(b.to_numpy(dtype=float))
+        yield pd.DataFrame({"v": [total]})
+
+    sums = df.mapInPandas(task, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(size)
+    for r in sums.collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
 def moments(df: DataFrame, cols: list[Column | str], weight: Column | None = None) -> tuple[np.ndarray, int]:
-    """Matrix of the sums of products of the columns, and the number of rows. One pass."""
+    """Matrix of the sums of products of the columns (null counts as 0), and the number of rows. One pass."""
     cs = [F.col(c) if isinstance(c, str) else c for c in cols]
-    cells = [(i, j) for i in range(len(cs)) for j in range(i, len(cs))]
-    terms = [cs[i] * cs[j] if weight is None else weight * cs[i] * cs[j] for i, j in cells]
-    row = df.agg(F.count(F.lit(1)), *[F.sum(t.cast("double")) for t in terms]).first()
-    out = np.zeros((len(cs), len(cs)))
-    for (i, j), v in zip(cells, row[1:]):
-        out[i, j] = out[j, i] = v or 0.0
-    return out, row[0]
+    p = len(cs)
+    wide = [c.cast("double") for c in cs] + [F.lit(1.0) if weight is None else weight.cast("double")]
+
+    def part(z: np.ndarray) -> np.ndarray:
+        x = z[:, :p]
+        return np.append((x.T @ (x * z[:, p:])).ravel(), len(z))
+
+    total = summed(df.select(*[F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(wide)]), part, p * p + 1)
+    return total[:-1].reshape(p, p), int(total[-1])
 
 
 def independent(gram: np.ndarray, scale: np.ndarray, tol: float = 1e-9) -> list[int]:
@@ -60,6 +83,27 @@ def meat(df: DataFrame, xs: list[str], score: Column, clusters: list[list[str]])
     return total
 
 
+def sandwich(bread: np.ndarray, filling: np.ndarray) -> np.ndarray:
+    """Covariance of the estimates. Two-way sums may leave a negative variance; negative
+    eigenvalues are then set to zero, as the sum of the true covariances has none."""
+    cov = bread @ filling @ bread
+    if len(cov) and np.diag(cov).min() < 0:
+        values, axes = np.linalg.eigh((cov + cov.T) / 2)
+        cov = (axes * np.maximum(values, 0.0)) @ axes.T
+    return cov
+
+
+def small_sample_factor(df: DataFrame, n: int, p: int, effects: Effects, clusters: list[list[str]]) -> float:
+    """(n - 1) / (n - K): K counts the p regressors and the levels of the effects, one level of each further
+    effect being implied. An effect that is nested in a cluster (has all its keys) is not counted."""
+    open_ = [e for e in effects if not any(set(c) <= set(e) for c in clusters)]
+    levels = sum(df.select(*e).distinct().count() for e in open_)
+    k = p + max(levels - max(len(open_) - 1, 0), 1)
+    if n <= k:
+        raise ValueError(f"{n} rows are too few for {k} parameters")
+    return (n - 1) / (n - k)
+
+
 @dataclass
 class Fit:
     terms: list[str]
@@ -90,10 +134,12 @@ def fe_ols(
     effects: Effects,
     clusters: list[list[str]] | None = None,
     tol: float = 1e-8,
+    small_sample: bool = False,
 ) -> Fit:
     """OLS of y on xs with the effects absorbed; absorbed and collinear columns are dropped.
 
-    Standard errors are clustered (by the first effect unless told otherwise), one or two ways.
+    Standard errors are clustered (by the first effect unless told otherwise), one or two ways;
+    ``small_sample`` multiplies the covariance by (n - 1) / (n - K).
     """
     clusters = clusters or [effects[0]]
     keys = list(dict.fromkeys(k for e in effects + clusters for k in e))
@@ -107,7 +153,9 @@ def fe_ols(
     bread = np.linalg.inv(gram[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
     beta = bread @ gram[kept, p]
     error = F.col(y) - sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, names)), F.lit(0.0))
-    cov = bread @ meat(flat, names, error, clusters) @ bread if kept else bread
+    cov = sandwich(bread, meat(flat, names, error, clusters)) if kept else bread
+    if small_sample:
+        cov = cov * small_sample_factor(flat, n, len(names), effects, clusters)
     ssr = gram[p, p] - float(beta @ gram[kept, p]) if kept else gram[p, p]
     return Fit(names, beta, cov, n, [x for x in xs if x not in names], deviance=ssr)
 
