@@ -47,7 +47,7 @@ CTE = {
     "pair": """
         SELECT a.rta_id, a.dif, a.din, a.party AS party_a, b.party AS party_b
         FROM party a JOIN party b ON a.rta_id = b.rta_id AND a.party < b.party""",
-    "yr": "SELECT CAST(unnest(range(1995, 2002)) AS INTEGER) AS year",
+    "yr": "SELECT CAST(unnest(range(1995, 2021)) AS INTEGER) AS year",
     "cell": """
         SELECT p.*, y.year,
                CASE WHEN make_date(y.year, 1, 1) >= p.dif

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausegrid import fixtures as fx
 from clausegrid.catalog.base import query, with_cte
-from clausegrid.catalog.panel import kept_clauses
+from clausegrid.catalog.panel import kept_clauses, languages
 from clausegrid.econ import glm, hdfe, ols, pcr
 from clausegrid.operators import panel as P
 from clausegrid.operators.lookups import join_null_safe
@@ -84,11 +84,8 @@ def fe_glm_negbin(spark, sf):
     return glm.fe_glm(trade_with_counts(spark, sf), "export_value", ["n_clauses"], effects, "negbin", tol=TOL).tidy(spark, "negbin")
 
 
-LANGS = ["en", "fr", "de", "es"]
-
-
 def _wide(spark, sf):
-    """Trade rows with one clause count per article type (the languages, whose counts differ between agreements)."""
+    """The article types, and trade rows with one clause count for each (the languages, whose counts differ between agreements)."""
     sums = P.pair_year_sums(
         kept_clauses(spark, sf).select("rta_id", "article_cat"),
         fx.agreements(spark, sf),
@@ -97,26 +94,28 @@ def _wide(spark, sf):
         key="article_cat",
         only_active=True,
     )
-    wide = P.pivot_panel(sums, [*P.PAIR, "year"], "article_cat", LANGS, ["cumulative"])
-    return materialize(P.panel_left_join(fx.trade(spark, sf), wide, [f"{c}_cumulative" for c in LANGS]), "wide")
+    langs = languages(spark, sf)
+    wide = P.pivot_panel(sums, [*P.PAIR, "year"], "article_cat", langs, ["cumulative"])
+    return langs, materialize(P.panel_left_join(fx.trade(spark, sf), wide, [f"{c}_cumulative" for c in langs]), "wide")
 
 
 @query("sub_regressions")
 def sub_regressions(spark, sf):
-    return gravity.chapter_regressions(_wide(spark, sf), LANGS, effects=[["exporter", "importer"], ["year"]])
+    langs, wide = _wide(spark, sf)
+    return gravity.chapter_regressions(wide, langs)
 
 
 @query("lagged_regression")
 def lagged_regression(spark, sf):
     df = trade_with_counts(spark, sf)
-    fit = glm.lagged_regression(df, "export_value", ["n_clauses"], 2, ["exporter", "importer"], "year", [["exporter", "importer"], ["year"]])
+    fit = glm.lagged_regression(df, "export_value", ["n_clauses"], 2, ["exporter", "importer"], "year", gravity.GRAVITY_EFFECTS)
     return fit.tidy(spark, "lag2")
 
 
-@query("rank_check")
+@query("rank_check", "SELECT CAST(count(DISTINCT lang) + 1 AS INTEGER) AS n_columns, CAST(count(DISTINCT lang) AS INTEGER) AS rank, 'twice' AS collinear FROM documents")
 def rank_check(spark, sf):
-    wide = _wide(spark, sf)
-    cols = [f"{s}_cumulative" for s in LANGS]
+    langs, wide = _wide(spark, sf)
+    cols = [f"{s}_cumulative" for s in langs]
     doubled = wide.withColumn("twice", 2 * F.col(cols[0]))
     rank, collinear = ols.rank_check(doubled, [*cols, "twice"])
     return spark.createDataFrame([(len(cols) + 1, rank, ", ".join(collinear))], "n_columns int, rank int, collinear string")
@@ -124,8 +123,8 @@ def rank_check(spark, sf):
 
 @query("coef_table")
 def coef_table(spark, sf):
-    wide = _wide(spark, sf)
-    fit = ols.fe_ols(wide, "export_value", [f"{s}_cumulative" for s in LANGS], [["exporter", "importer"]])
+    langs, wide = _wide(spark, sf)
+    fit = ols.fe_ols(wide, "export_value", [f"{s}_cumulative" for s in langs], [["exporter", "importer"]])
     names = load(spark, sf, "documents").select(
         F.concat("lang", F.lit("_cumulative")).alias("term"), F.col("lang").alias("article_cat")
     ).distinct()

@@ -7,9 +7,20 @@ from pyspark.sql import functions as F
 from clausegrid import fixtures as fx
 from clausegrid.catalog.base import query, with_cte
 from clausegrid.operators import panel as P
+from clausegrid.operators.labels import bounded_values
+from clausegrid.session import load, materialize
 
 LO, HI = fx.YEARS
-SOURCES = [f"src{i}" for i in range(20)]
+SOURCES = [f"src{i}" for i in range(20)]  # for the SQL twins; the queries take theirs from the table
+LANGS = ["en", "fr", "de", "es"]
+
+
+def chapters(spark, sf):
+    return bounded_values(load(spark, sf, "documents"), "source", 1000)
+
+
+def languages(spark, sf):
+    return bounded_values(load(spark, sf, "documents"), "lang", 1000)
 
 
 def kept_clauses(spark, sf):
@@ -42,10 +53,9 @@ def chapter_counts(spark, sf):
 
 def wide_trade_panel(spark, sf):
     """Trade rows next to the clause counts per chapter of the pair in the year."""
-    wide = P.pivot_panel(
-        chapter_counts(spark, sf), [*P.PAIR, "year"], "chapter_cat", SOURCES, ["cumulative"]
-    )
-    return P.panel_left_join(fx.trade(spark, sf), wide, [f"{s}_cumulative" for s in SOURCES])
+    names = chapters(spark, sf)
+    wide = P.pivot_panel(chapter_counts(spark, sf), [*P.PAIR, "year"], "chapter_cat", names, ["cumulative"])
+    return P.panel_left_join(fx.trade(spark, sf), wide, [f"{s}_cumulative" for s in names])
 
 
 _WIDE_SQL = ", ".join(
@@ -135,9 +145,10 @@ def bilateral_totals(spark, sf):
 
 
 _PIVOT2 = ", ".join(
-    f"CAST(coalesce(sum(cumulative) FILTER (WHERE clause_id = '{s}_en'), 0) AS BIGINT) AS {s}_en_cumulative, "
-    f"CAST(coalesce(sum(delta) FILTER (WHERE clause_id = '{s}_en'), 0) AS BIGINT) AS {s}_en_delta"
+    f"CAST(coalesce(sum(cumulative) FILTER (WHERE clause_id = '{s}_{g}'), 0) AS BIGINT) AS {s}_{g}_cumulative, "
+    f"CAST(coalesce(sum(delta) FILTER (WHERE clause_id = '{s}_{g}'), 0) AS BIGINT) AS {s}_{g}_delta"
     for s in SOURCES
+    for g in LANGS
 )
 
 
@@ -150,9 +161,8 @@ def pivot_panel(spark, sf):
         LO,
         HI,
     ).withColumnRenamed("new_delta", "delta")
-    return P.pivot_panel(
-        long, [*P.PAIR, "year"], "clause_id", [f"{s}_en" for s in SOURCES], ["cumulative", "delta"]
-    )
+    ids = [f"{s}_{g}" for s in chapters(spark, sf) for g in languages(spark, sf)]
+    return P.pivot_panel(long, [*P.PAIR, "year"], "clause_id", ids, ["cumulative", "delta"])
 
 
 def _members(spark, sf):
@@ -210,7 +220,7 @@ def panel_left_join(spark, sf):
     LEFT JOIN trade l ON l.exporter = t.exporter AND l.importer = t.importer AND l.year = t.year - 1
     LEFT JOIN trade m ON m.exporter = t.exporter AND m.importer = t.importer AND m.year = t.year - 2"""))
 def panel_lag(spark, sf):
-    df = fx.trade(spark, sf)
+    df = materialize(fx.trade(spark, sf), "trade")  # read by both sides of both lags
     unit = ["exporter", "importer"]
     one = P.lag_panel(df, unit, "year", ["export_value"], 1)
     two = P.lag_panel(df, unit, "year", ["export_value"], 2).drop("export_value")

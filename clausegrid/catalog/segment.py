@@ -188,7 +188,7 @@ def trim_section_suffix(spark, sf):
 )
 def ffill_group(spark, sf):
     rows = blanks_to_null(untitled(spark, sf).select("fta_name", "title", "chapter", "art_identifier", "clauseno", "article"))
-    filled = forward_fill(rows, ["fta_name", "title", "chapter", "art_identifier"], "clauseno", "article", width=4)
+    filled = forward_fill(rows, ["fta_name", "title", "chapter", "art_identifier"], "clauseno", "article")
     return filled.select("fta_name", "title", "art_identifier", "clauseno", "article")
 
 
@@ -253,7 +253,7 @@ def paragraph_offsets(spark, sf):
     n = docs(spark, sf).select(
         "doc_id", F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")).cast("bigint").alias("n")
     )
-    return running_sum(n, [], "doc_id", "n", "upto", width=256).select(
+    return running_sum(n, [], "doc_id", "n", "upto").select(
         "doc_id", (F.col("upto") - F.col("n")).alias("first_row"), (F.col("upto") - 1).alias("last_row")
     )
 
@@ -270,7 +270,7 @@ def middle_k(spark, sf):
     FROM lines WHERE line <> ''""")
 def clause_number(spark, sf):
     rows = lines(spark, sf).where(F.col("line") != "")
-    return position(rows, ["doc_id"], "pos", "clauseno", width=64)
+    return position(rows, ["doc_id"], "pos", "clauseno")
 
 
 @query("raw_clean_lookup", f"""WITH c AS (SELECT doc_id, text AS original, trim(regexp_replace(lower(text), '{WS}+', ' ', 'g')) AS treated FROM documents)

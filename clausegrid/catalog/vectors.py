@@ -97,7 +97,7 @@ def pca_reduce(spark, sf):
 
 @query("kmeans_elbow")
 def kmeans_elbow(spark, sf):
-    return U.kmeans_sweep(vectors(spark, sf), "embedding", [30, 41, 50])
+    return U.kmeans_sweep(vectors(spark, sf), "embedding", list(range(30, 51)))
 
 
 @query("kmeans_fixed")
@@ -126,7 +126,7 @@ def affinity_propagation(spark, sf):
     e = vectors(spark, sf)
     edges = U.neighbour_similarities(e, "vec_id", "embedding", "label", 8)
     nodes = e.select(F.col("label").cast("string").alias("g"), F.col("vec_id").alias("id"))
-    return U.affinity(edges, nodes, rounds=40)
+    return U.affinity(edges, nodes, damping=0.7)
 
 
 @query("affinity_on_edit_distance")
@@ -137,7 +137,7 @@ def affinity_on_edit_distance(spark, sf):
     edges = near.select(F.lit("").alias("g"), F.col("a").alias("i"), F.col("b").alias("k"), s).unionByName(
         near.select(F.lit("").alias("g"), F.col("b").alias("i"), F.col("a").alias("k"), s)
     )
-    return U.affinity(edges, words.select(F.lit("").alias("g"), F.col("word").alias("id")), rounds=30)
+    return U.affinity(edges, words.select(F.lit("").alias("g"), F.col("word").alias("id")), damping=0.9)
 
 
 @query("classify_embeddings")
@@ -163,9 +163,9 @@ def classify_text_infer(spark, sf):
 
 @query("lda_topics")
 def lda_topics(spark, sf):
-    return U.lda_topics(docs(spark, sf), "doc_id", "text", k=10, rounds=5)[0]
+    return U.lda_topics(docs(spark, sf), "doc_id", "text", k=10)[0]
 
 
 @query("choose_topics")
 def choose_topics(spark, sf):
-    return U.choose_topics(docs(spark, sf), "doc_id", "text", [5, 10])
+    return U.choose_topics(docs(spark, sf), "doc_id", "text", list(range(4, 13, 2)))

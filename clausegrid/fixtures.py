@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.session import load
 
-YEARS = (1995, 2001)
+YEARS = (1995, 2020)
 
 
 def agreements(spark: SparkSession, sf: str) -> DataFrame:

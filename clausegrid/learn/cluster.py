@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -61,18 +61,29 @@ def two_way_tree(df: DataFrame, key: str, vec: str, k: int = 2, seed: int = 7) -
     return model.transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
-def lda_topics(df: DataFrame, key: str, col: str, k: int = 10, seed: int = 7, vocabulary: int = 20000, rounds: int = 10):
-    """((key, topic, weight), log perplexity): the strongest of k topics per text."""
+def lda_topics(
+    df: DataFrame, key: str, col: str, k: int = 10, seed: int = 7, features: int = 1 << 16, rounds: int = 10, tol: float = 1e-2, most: int = 640
+):
+    """((key, topic, weight), log perplexity): the strongest of k topics per text.
+
+    Words are hashed to ``features`` columns, so no word is left out and the topic matrix does not grow
+    with the texts. The rounds are doubled until the log perplexity moves by less than ``tol`` of itself;
+    passing ``most`` rounds is an error.
+    """
     rows = df.select(key, tokens(F.lower(col)).alias("words"))
-    vectorizer: CountVectorizerModel = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2).fit(rows)
-    data = vectorizer.transform(rows).select(key, "features").cache()
-    model = LDA(k=k, seed=seed, maxIter=rounds).fit(data)
+    data = materialize(HashingTF(inputCol="words", outputCol="features", numFeatures=features).transform(rows).select(key, "features"), "counts")
+    before = None
+    while rounds <= most:
+        model = LDA(k=k, seed=seed, maxIter=rounds).fit(data)
+        perplexity = model.logPerplexity(data)
+        if before is not None and abs(perplexity - before) <= tol * abs(before):
+            break
+        before, rounds = perplexity, rounds * 2
+    else:
+        raise RuntimeError(f"the topics did not settle in {most} rounds")
     dist = vector_to_array("topicDistribution")
     best = F.array_max(dist)
-    out = model.transform(data).select(key, (F.array_position(dist, best) - 1).cast("int").alias("topic"), best.alias("weight"))
-    perplexity = model.logPerplexity(data)
-    data.unpersist()
-    return out, perplexity
+    return model.transform(data).select(key, (F.array_position(dist, best) - 1).cast("int").alias("topic"), best.alias("weight")), perplexity
 
 
 def choose_topics(df: DataFrame, key: str, col: str, ks: list[int], seed: int = 7) -> DataFrame:
@@ -121,7 +132,7 @@ def affinity(
     nodes: DataFrame,
     preference: float | None = None,
     damping: float = 0.5,
-    rounds: int = 200,
+    rounds: int = 2000,
     settle: int = 15,
 ) -> DataFrame:
     """(id, exemplar): exemplar clustering by message passing over given similarities.
@@ -129,7 +140,9 @@ def affinity(
     ``edges`` (g, i, k, s) lists the similarities that exist, e.g. of nearest neighbours
     or of strings within some edits; with all pairs listed this is the dense algorithm.
     ``nodes`` (g, id). The preference is the median similarity of the group unless given.
-    Work per round is linear in the edges: one aggregation by row, one by candidate.
+    Work per round is linear in the edges: one aggregation by row, one by candidate. Ends when the
+    exemplars stay the same for ``settle`` rounds; running out of rounds is an error (a higher
+    damping, such as 0.9, helps similarities with many ties).
     """
     if preference is None:
         medians = group_medians(edges)
@@ -142,14 +155,12 @@ def affinity(
     before, quiet = None, 0
     for it in range(1, rounds + 1):
         total = F.col("a") + F.col("s")
-        # best and second-best offer per row: its degree is bounded, so a window is safe
-        rival = Window.partitionBy("i")
-        top2 = F.slice(F.sort_array(F.collect_list(total).over(rival), asc=False), 1, 2)
-        sent = state.withColumn("_t", top2).withColumn(
-            "r",
-            keep * F.col("r")
-            + new * (F.col("s") - F.coalesce(F.when(total >= F.get("_t", F.lit(0)), F.get("_t", F.lit(1))).otherwise(F.get("_t", F.lit(0))), F.lit(0.0))),
-        ).drop("_t")
+        # best and second-best offer per row; the two are picked ahead of the shuffle
+        rival = Window.partitionBy("i").orderBy(F.desc("_o"))
+        offers = state.select("i", total.alias("_o")).withColumn("_n", F.row_number().over(rival)).where(F.col("_n") <= 2)
+        top = offers.groupBy("i").agg(F.max("_o").alias("_best"), F.max(F.when(F.col("_n") == 2, F.col("_o"))).alias("_next"))
+        other = F.coalesce(F.when(total >= F.col("_best"), F.col("_next")).otherwise(F.col("_best")), F.lit(0.0))
+        sent = state.join(top, "i").withColumn("r", keep * F.col("r") + new * (F.col("s") - other)).drop("_best", "_next")
         # a candidate may be named by any number of rows, so its messages are aggregated and joined back
         support = sent.groupBy("k").agg(
             F.sum(F.when(F.col("i") != F.col("k"), F.greatest("r", F.lit(0.0))).otherwise(0.0)).alias("_sum"),
@@ -168,6 +179,8 @@ def affinity(
             before = now
             if quiet >= settle:
                 break
+    else:
+        raise RuntimeError(f"the exemplars did not settle in {rounds} rounds")
     exemplars = materialize(state.where((F.col("i") == F.col("k")) & (F.col("r") + F.col("a") > 0)).select(F.col("k")), "exemplars")
     choice = state.join(exemplars, "k").groupBy("i").agg(F.min_by("k", F.struct(-F.col("s"), F.col("k"))).alias("k"))
     selves = exemplars.select(F.col("k").alias("i"), F.col("k").alias("_self"))

@@ -122,3 +122,33 @@ def test_component_regression_matches_direct_fits(spark):
         ssr = ((y - d @ b) ** 2).sum()
         aic = n * (np.log(2 * np.pi) + np.log(ssr / n) + 1) + 2 * (k + 1)
         assert abs(got[k].loo - loo) < 1e-6 and abs(got[k].aic - aic) < 1e-6
+
+
+def test_dispersion_bracket_moves_or_raises(spark):
+    rng = np.random.default_rng(5)
+    mu = rng.uniform(2, 9, size=4000)
+    for theta in (2e-4, 3.0):
+        y = rng.poisson(mu * rng.gamma(theta, 1 / theta, size=len(mu))).astype(float)
+        df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, mu)], "y double, mu double")
+        assert 0.5 * theta < glm.estimate_theta(df, "y", "mu") < 2 * theta
+    even = spark.createDataFrame([(4.0, 4.0)] * 20, "y double, mu double")
+    with pytest.raises(RuntimeError, match="sign"):
+        glm.estimate_theta(even, "y", "mu")
+
+
+def test_wide_moments_and_rank(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 300))
+    x[:, 299] = x[:, 0] + x[:, 1]
+    cols = [f"c{i}" for i in range(300)]
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in cols))
+    gram, n = ols.moments(df, cols)
+    assert n == 400 and np.allclose(gram, x.T @ x)
+    assert ols.rank_check(df, cols) == (299, ["c299"])
+
+
+def test_small_sample_factor_counts_open_effects(spark):
+    df = spark.createDataFrame([(i % 5, i % 4, float(i * i % 17), float(i % 3)) for i in range(60)], "a int, b int, y double, x double")
+    plain = ols.fe_ols(df, "y", ["x"], [["a"], ["b"]])
+    scaled = ols.fe_ols(df, "y", ["x"], [["a"], ["b"]], small_sample=True)
+    assert np.allclose(scaled.covariance, plain.covariance * 59 / (60 - 1 - 4))  # a is the cluster, b has four levels

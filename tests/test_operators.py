@@ -102,11 +102,13 @@ def test_affinity_equals_dense_algorithm(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
     edges = U.neighbour_similarities(df, "id", "vec", None, len(x) - 1)
     nodes = df.select(F.lit("").alias("g"), "id")
-    got = {r.id: r.exemplar for r in U.affinity(edges, nodes, rounds=15).collect()}
+    got = {r.id: r.exemplar for r in U.affinity(edges, nodes).collect()}
     s = -pairwise(x) ** 2
     np.fill_diagonal(s, np.median(s[~np.eye(len(x), dtype=bool)]))
-    want = dense_affinity(s, 15)
+    want = dense_affinity(s, 100)
     assert [got[i] for i in range(len(x))] == list(want) and len(set(want)) == 3
+    with pytest.raises(RuntimeError, match="settle"):
+        U.affinity(edges, nodes, rounds=10)
 
 
 def test_edit_join_is_exact(spark):
@@ -130,10 +132,10 @@ def test_edit_join_is_exact(spark):
 def test_fill_and_positions_with_a_hot_key(spark):
     rows = [("hot" if i % 3 else "k", i, str(i) if i % 17 == 0 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, pos long, v string")
-    filled = scan.forward_fill(df, ["k"], "pos", "v", width=64).toPandas().sort_values("pos")
+    filled = scan.forward_fill(df, ["k"], "pos", "v").toPandas().sort_values("pos")
     want = df.toPandas().sort_values("pos")
     assert (filled.v.fillna("-").to_numpy() == want.groupby("k").v.ffill().fillna("-").to_numpy()).all()
-    placed = scan.position(df, ["k"], "pos", "n", width=64).toPandas().sort_values("pos")
+    placed = scan.position(df, ["k"], "pos", "n").toPandas().sort_values("pos")
     assert (placed.n.to_numpy() == want.groupby("k").cumcount().to_numpy() + 1).all()
     index = scan.global_index(df.select("pos"), [F.desc("pos")], "i").toPandas()
     assert (index.i.to_numpy() == 2999 - index.pos.to_numpy()).all()
@@ -244,3 +246,20 @@ def test_knn_tells_near_copies_apart(spark):
     query = spark.createDataFrame([(9, [1000.0004999, 1000.0])], "id long, vec array<double>")
     got = V.knn(V.points(query, "id", "vec", None, "euclidean"), V.points(base, "id", "vec", None, "euclidean"), 1).first()
     assert got.nid == 2 and abs(got.d - 1e-7) < 1e-9
+
+
+def test_sparse_order_and_one_key_spread_over_ranges(spark):
+    """Order values far apart, and no key at all: sums equal the plain running sum."""
+    df = spark.range(1000).select((F.col("id") * 100_003).alias("pos"), (F.col("id") % 7).alias("v"))
+    got = {r.pos: r.s for r in scan.running_sum(df, [], "pos", "v", "s").collect()}
+    assert [got[i * 100_003] for i in range(1000)] == list(np.cumsum(np.arange(1000) % 7))
+
+
+def test_csv_lines_keep_breaks_and_backslashes(spark, tmp_path):
+    from clausegrid.sources import files
+
+    texts = ["a\nb", "c\\nd", "\\", "e\r\nf \"q\"", "\\b\\", " lead, trail ", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    files.write_csv(df, str(tmp_path / "c"), one_line=True)
+    back = files.read_csv_typed(spark, str(tmp_path / "c"), "id LONG, text STRING", one_line=True)
+    assert {r.id: r.text for r in back.collect()} == dict(enumerate(texts))
