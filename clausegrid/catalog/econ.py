@@ -102,13 +102,13 @@ def _wide(spark, sf):
 @query("sub_regressions")
 def sub_regressions(spark, sf):
     langs, wide = _wide(spark, sf)
-    return gravity.chapter_regressions(wide, langs)
+    return gravity.chapter_regressions(wide, langs, effects=[["exporter", "importer"], ["year"]])
 
 
 @query("lagged_regression")
 def lagged_regression(spark, sf):
     df = trade_with_counts(spark, sf)
-    fit = glm.lagged_regression(df, "export_value", ["n_clauses"], 2, ["exporter", "importer"], "year", gravity.GRAVITY_EFFECTS)
+    fit = glm.lagged_regression(df, "export_value", ["n_clauses"], 2, ["exporter", "importer"], "year", [["exporter", "importer"], ["year"]])
     return fit.tidy(spark, "lag2")
 
 

@@ -131,13 +131,14 @@ def affinity_propagation(spark, sf):
 
 @query("affinity_on_edit_distance")
 def affinity_on_edit_distance(spark, sf):
+    """Exemplars after 30 rounds: similarities of whole edits have many ties and take hundreds of rounds to settle."""
     words = load(spark, sf, "benchmark").select(F.explode(tokens(ascii_fold("text"))).alias("word")).distinct()
     near = E.edit_distance_pairs(words, "word", 2)
     s = F.col("similarity").cast("double").alias("s")
     edges = near.select(F.lit("").alias("g"), F.col("a").alias("i"), F.col("b").alias("k"), s).unionByName(
         near.select(F.lit("").alias("g"), F.col("b").alias("i"), F.col("a").alias("k"), s)
     )
-    return U.affinity(edges, words.select(F.lit("").alias("g"), F.col("word").alias("id")), damping=0.9)
+    return U.affinity(edges, words.select(F.lit("").alias("g"), F.col("word").alias("id")), rounds=30, partial=True)
 
 
 @query("classify_embeddings")

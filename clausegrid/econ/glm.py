@@ -98,12 +98,13 @@ def _digamma(x: np.ndarray | float) -> np.ndarray:
 
 
 def estimate_theta(
-    df: DataFrame, y: str, mu: str, lo: float = 1e-3, hi: float = 1e6, rounds: int = 4, grid: int = 40, widest: float = 1e9
+    df: DataFrame, y: str, mu: str, lo: float = 1e-3, hi: float = 1e6, rounds: int = 4, grid: int = 40, widest: float = 1e6
 ) -> float:
     """Maximum-likelihood dispersion given the means: the zero of the score in theta.
 
     Every job evaluates the score on a whole grid; the bracket shrinks grid-fold per job. A bracket
-    that does not hold the zero is moved on; beyond 1 / ``widest`` and ``widest`` there is none, which is an error.
+    that does not hold the zero is moved on; beyond 1 / ``widest`` and ``widest`` (where the score is as
+    small as its rounding errors) there is none, which is an error.
     """
     rows = df.select(F.col(y).cast("double").alias("y"), F.col(mu).cast("double").alias("m"))
 

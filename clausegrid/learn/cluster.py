@@ -134,6 +134,7 @@ def affinity(
     damping: float = 0.5,
     rounds: int = 2000,
     settle: int = 15,
+    partial: bool = False,
 ) -> DataFrame:
     """(id, exemplar): exemplar clustering by message passing over given similarities.
 
@@ -142,7 +143,7 @@ def affinity(
     ``nodes`` (g, id). The preference is the median similarity of the group unless given.
     Work per round is linear in the edges: one aggregation by row, one by candidate. Ends when the
     exemplars stay the same for ``settle`` rounds; running out of rounds is an error (a higher
-    damping, such as 0.9, helps similarities with many ties).
+    damping, such as 0.9, helps similarities with many ties), unless ``partial`` asks for the state reached.
     """
     if preference is None:
         medians = group_medians(edges)
@@ -180,7 +181,8 @@ def affinity(
             if quiet >= settle:
                 break
     else:
-        raise RuntimeError(f"the exemplars did not settle in {rounds} rounds")
+        if not partial:
+            raise RuntimeError(f"the exemplars did not settle in {rounds} rounds")
     exemplars = materialize(state.where((F.col("i") == F.col("k")) & (F.col("r") + F.col("a") > 0)).select(F.col("k")), "exemplars")
     choice = state.join(exemplars, "k").groupBy("i").agg(F.min_by("k", F.struct(-F.col("s"), F.col("k"))).alias("k"))
     selves = exemplars.select(F.col("k").alias("i"), F.col("k").alias("_self"))

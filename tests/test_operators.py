@@ -258,7 +258,7 @@ def test_sparse_order_and_one_key_spread_over_ranges(spark):
 def test_csv_lines_keep_breaks_and_backslashes(spark, tmp_path):
     from clausegrid.sources import files
 
-    texts = ["a\nb", "c\\nd", "\\", "e\r\nf \"q\"", "\\b\\", " lead, trail ", ""]
+    texts = ["a\nb", "c\\nd", "\\", "e\r\nf \"q\"", "\\b\\", " lead, trail ", "", "\\0", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     files.write_csv(df, str(tmp_path / "c"), one_line=True)
     back = files.read_csv_typed(spark, str(tmp_path / "c"), "id LONG, text STRING", one_line=True)
