@@ -199,14 +199,14 @@ def blank_to_null(spark, sf):
     return blanks_to_null(rows)
 
 
-_INLINE = f"""list_transform(regexp_split_to_array(text, '{L.INLINE_CLAUSE_MARK}'),
+INLINE = f"""list_transform(regexp_split_to_array(text, '{L.INLINE_CLAUSE_MARK}'),
     lambda s: trim({strip_sql('s')}, '1. '))"""
 _FLAT = f"flat AS (SELECT doc_id, replace(replace(replace(text, chr(9), ' '), chr(10), ' '), chr(160), ' ') AS text FROM numbered)"
 
 
 @query(
     "split_clauses_xml",
-    f"""WITH {NUMBERED}, {_FLAT}, c AS (SELECT doc_id, {_INLINE} AS cs FROM flat)
+    f"""WITH {NUMBERED}, {_FLAT}, c AS (SELECT doc_id, {INLINE} AS cs FROM flat)
     SELECT doc_id, CAST(unnest(range(1, len(cs) + 1)) AS INTEGER) AS clauseno, unnest(cs) AS clause FROM c""",
 )
 def split_clauses_xml(spark, sf):

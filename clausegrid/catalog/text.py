@@ -123,12 +123,15 @@ query(
 )(lambda spark, sf: lines(spark, sf).where(~X.is_noise_paragraph("line")))
 
 _CHAIN = ["to_lower", "remove_url", "remove_special_character", "normalize_unicode", "remove_punctuation", "remove_number", "remove_whitespace"]
-query(
-    "clean_chain",
-    f"""SELECT doc_id, trim(regexp_replace(regexp_replace(translate(regexp_replace(strip_accents(translate(
-      regexp_replace(lower(text), '{L.URL}', '', 'g'), '{L.SPECIAL_CHARACTERS}', '')), '[^\\x00-\\x7F]', '', 'g'),
-      '{PUNCT}', ''), '\\p{{Nd}}+', '', 'g'), '{WS}+', ' ', 'g')) AS clean FROM documents""",
-)(lambda spark, sf: docs(spark, sf).select("doc_id", X.clean("text", _CHAIN).alias("clean")))
+
+
+def clean_chain_sql(c: str) -> str:
+    return f"""trim(regexp_replace(regexp_replace(translate(regexp_replace(strip_accents(translate(
+      regexp_replace(lower({c}), '{L.URL}', '', 'g'), '{L.SPECIAL_CHARACTERS}', '')), '[^\\x00-\\x7F]', '', 'g'),
+      '{PUNCT}', ''), '\\p{{Nd}}+', '', 'g'), '{WS}+', ' ', 'g'))"""
+
+
+query("clean_chain", f"SELECT doc_id, {clean_chain_sql('text')} AS clean FROM documents")(lambda spark, sf: docs(spark, sf).select("doc_id", X.clean("text", _CHAIN).alias("clean")))
 
 
 def section_titles(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausegrid.catalog.base import query
-from clausegrid.catalog.text import docs
+from clausegrid.catalog.text import clean_chain_sql, docs, tok
 from clausegrid.functions.text import ascii_fold, tokens
 from clausegrid.learn import classify as Y
 from clausegrid.learn import cluster as U
@@ -85,9 +85,24 @@ def topic_representatives(spark, sf):
     return top.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("embed_text")
+def embed_sql(source: str, key: str, text: str, dims: int = 64) -> str:
+    """Twin of ``embed``: CTEs ending in ``embedded`` (key, v) for the rows of ``source``."""
+    words = [f"CAST('0x' || substr(md5(token), {1 + 7 * b}, 7) AS BIGINT) AS h{b}" for b in range(-(-dims // 28))]
+    sums = [f"sum(w * (1 - 2 * ((h{d // 28} >> {d % 28}) & 1)))" for d in range(dims)]
+    return f"""cleaned AS (SELECT {key} AS key, {clean_chain_sql(text)} AS t FROM {source}),
+    tfs AS (SELECT t, token, count(*) AS tf FROM (SELECT t, unnest({tok('t')}) AS token FROM (SELECT DISTINCT t FROM cleaned)) GROUP BY ALL),
+    idfs AS (SELECT token, ln((1.0 + (SELECT count(DISTINCT t) FROM tfs)) / (1 + count(*))) + 1 AS idf, {', '.join(words)} FROM tfs GROUP BY token),
+    summed AS (SELECT t, [{', '.join(sums)}] AS s FROM (SELECT t, tf * idf AS w, h0, h1, h2 FROM tfs JOIN idfs USING (token)) GROUP BY t),
+    unit AS (SELECT t, CASE WHEN n > 0 THEN list_transform(s, lambda x: x / n) ELSE s END AS v FROM (SELECT *, sqrt(list_dot_product(s, s)) AS n FROM summed)),
+    embedded AS (SELECT key, coalesce(v, list_transform(range({dims}), lambda x: 0.0::DOUBLE)) AS v FROM cleaned LEFT JOIN unit USING (t))"""
+
+
+@query("embed_text", f"""WITH {embed_sql('documents', 'doc_id', 'text')}
+    SELECT key AS doc_id, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(v), 6) AS value FROM embedded""")
 def embed_text(spark, sf):
-    return embed(docs(spark, sf), "doc_id", "text", dims=64)
+    """One row per dimension, as in ``scale_features``."""
+    vectors = embed(docs(spark, sf), "doc_id", "text", dims=64)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("pca_reduce")
@@ -110,12 +125,29 @@ def hierarchical_clusters(spark, sf):
     return U.two_way_tree(vectors(spark, sf), "vec_id", "embedding")
 
 
-@query("dbscan")
+def dbscan_sql(near: str, need: int) -> str:
+    """Twin of ``dbscan``: CTEs ending in ``owned`` (id, label without noise), given all close pairs (a, b) with themselves."""
+    return f"""near AS ({near}),
+    core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {need}),
+    reach AS (SELECT id, id AS root FROM core UNION
+      SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.id JOIN core c ON c.id = n.b),
+    comp AS (SELECT id, min(root) AS comp FROM reach GROUP BY id),
+    touched AS (SELECT * FROM comp UNION ALL
+      SELECT n.a, min(c.comp) FROM near n JOIN comp c ON c.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a),
+    owned AS (SELECT id, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM touched)"""
+
+
+@query("dbscan", f"""WITH RECURSIVE {_E}, {dbscan_sql(f"SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE {_DIST} <= 0.7", 5)}
+    SELECT vec_id, CAST(coalesce(o.label, -1) AS BIGINT) AS label FROM e LEFT JOIN owned o ON o.id = vec_id""")
 def dbscan(spark, sf):
     return V.dbscan(vectors(spark, sf), "vec_id", "embedding", 0.7, 5)
 
 
-@query("density_merge")
+@query("density_merge", f"""WITH RECURSIVE {_E},
+    {dbscan_sql(f"SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND round({_COS}, 9) >= 0.85", 2)},
+    named AS (SELECT vec_id, 'title ' || vec_id AS name, CAST(coalesce(o.label, -1) AS BIGINT) AS label FROM e LEFT JOIN owned o ON o.id = vec_id),
+    short AS (SELECT label, name AS best FROM named WHERE label >= 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY length(name), name) = 1)
+    SELECT vec_id, n.label, coalesce(best, name) AS merged FROM named n LEFT JOIN short s ON s.label = n.label""")
 def density_merge(spark, sf):
     named = vectors(spark, sf).withColumn("name", F.concat(F.lit("title "), F.col("vec_id").cast("string")))
     return U.density_merge(named, "vec_id", "name", "embedding", "label", 0.15)

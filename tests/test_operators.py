@@ -28,15 +28,15 @@ def pairwise(x):
     return np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9)
 
 
-@pytest.mark.parametrize("block", [4096, 20])
-def test_knn_is_exact(cloud, block):
+@pytest.mark.parametrize("block, held", [(4096, 0), (20, 0), (20, V.HELD_BYTES)])
+def test_knn_is_exact(cloud, block, held):
     x, df = cloud
     p = V.points(df, "id", "vec", "grp", "euclidean")
     d = pairwise(x)
     np.fill_diagonal(d, np.inf)
     par = np.arange(len(x)) % 2
     d[par[:, None] != par[None]] = np.inf
-    got = V.knn(p, p, 3, exclude_self=True, block=block).toPandas().sort_values(["id", "rank"])
+    got = V.knn(p, p, 3, exclude_self=True, block=block, held_bytes=held).toPandas().sort_values(["id", "rank"])
     assert (got.nid.to_numpy().reshape(-1, 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
 
 
@@ -241,10 +241,25 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
         session.scratch_root(Session())
 
 
-def test_knn_tells_near_copies_apart(spark):
+def test_a_held_base_shuffles_no_vector(spark):
+    """Ties, repeated query ids and more neighbours asked for than there are, the same by both ways."""
+    base = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(30)], "id long, vec array<double>")
+    query = spark.createDataFrame([(i % 20, [i % 5 + 0.5, 1.0]) for i in range(40)], "id long, vec array<double>")
+    b, q = (V.points(df, "id", "vec", None, "euclidean") for df in (base, query))
+    for k in (7, 50):
+        ways = [V.knn(q, b, k, block=8, held_bytes=n) for n in (0, V.HELD_BYTES)]
+        one, two = (sorted((r.id, r["rank"], r.nid, r.d) for r in w.collect()) for w in ways)
+        assert one == two
+    plan = ways[1]._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line and "v#" in line]
+    assert not moved
+
+
+@pytest.mark.parametrize("held", [0, V.HELD_BYTES])
+def test_knn_tells_near_copies_apart(spark, held):
     base = spark.createDataFrame([(1, [1000.0, 1000.0]), (2, [1000.0005, 1000.0])], "id long, vec array<double>")
     query = spark.createDataFrame([(9, [1000.0004999, 1000.0])], "id long, vec array<double>")
-    got = V.knn(V.points(query, "id", "vec", None, "euclidean"), V.points(base, "id", "vec", None, "euclidean"), 1).first()
+    got = V.knn(V.points(query, "id", "vec", None, "euclidean"), V.points(base, "id", "vec", None, "euclidean"), 1, held_bytes=held).first()
     assert got.nid == 2 and abs(got.d - 1e-7) < 1e-9
 
 
