@@ -61,6 +61,8 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     names = [(m[2] or m[5] or "").lower() for m in tokens]
     closing = [(m[1] if m[2] else m[4]) == "/" for m in tokens]
 
+    end_of = _ends(names, closing)
+
     def flush(gap: bool) -> None:
         nonlocal held, linked
         text = " ".join("".join(held).split())
@@ -70,16 +72,6 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             out.extend([("", 0, False)] * WINDOW_LINES)
         held, linked = [], 0
 
-    def end_of(k: int) -> int | None:
-        """The token that closes the element opened by token k."""
-        depth = 0
-        for j in range(k, len(tokens)):
-            if names[j] == names[k]:
-                depth += -1 if closing[j] else 1
-                if depth == 0:
-                    return j
-        return None
-
     k = 0
     while k < len(tokens):
         m, name = tokens[k], names[k]
@@ -97,7 +89,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             if name not in ("svg", "math"):
                 flush(name != "script")
         elif name and not closing[k] and name not in _VOID and _around(name, m[3] or m[6] or ""):
-            stop = end_of(k)
+            stop = end_of.get(k)
             flush(True)
             if stop is not None:
                 at, k = tokens[stop].end(), stop
@@ -114,6 +106,18 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _ends(names: list[str], closing: list[bool]) -> dict[int, int]:
+    """For each token that opens an element the token that closes it, if there is one; one pass over the page."""
+    begun: dict[str, list[int]] = {}
+    ends = {}
+    for k, name in enumerate(names):
+        if not closing[k]:
+            begun.setdefault(name, []).append(k)
+        elif begun.get(name):
+            ends[begun[name].pop()] = k
+    return ends
+
+
 def _alone(names: list[str], closing: list[bool], k: int) -> bool:
     """A div that holds other blocks is a section border; one that holds bare text is a line like a paragraph."""
     j = k + 1 if not closing[k] else k - 1

@@ -26,6 +26,14 @@ def test_article_of_a_page():
     assert html.main_text(PAGE) == "Head & line First paragraph here. Second line, with a link. Quoted"
 
 
+def test_many_elements_that_never_end():
+    """Adverts without an end, their texts too short to count; a page of them is read in one pass."""
+    page = "<p>Start of the text.</p>" + "<div class='ad'>x" * 20000
+    assert html.main_text(page) == "Start of the text."
+    names, closing = ["div", "p", "div", "div", "p"], [False, False, False, True, True]
+    assert html._ends(names, closing) == {2: 3, 1: 4}
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p></p>", "<", "<!-- open", "<script>x", "<div class='", "<nav><a>only</a></nav>"])
 def test_pages_without_text(page):
     assert html.main_text(page) in ("", "<")
