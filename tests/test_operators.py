@@ -188,6 +188,9 @@ def test_embeddings_share_equal_texts(spark):
     df = spark.createDataFrame([(1, "Rules of origin"), (2, "rules of ORIGIN!"), (3, "customs"), (4, None)], "id int, t string")
     got = {r.id: np.array(r.embedding) for r in embed(df, "id", "t", dims=32).collect()}
     assert np.allclose(got[1], got[2]) and abs(np.linalg.norm(got[1]) - 1) < 1e-9 and not got[4].any()
+    wide, narrow = ({r.id: np.array(r.embedding) for r in embed(df, "id", "t", dims=n).collect()} for n in (230, 112))
+    head = wide[3][:112] / np.linalg.norm(wide[3][:112])  # further dimensions leave the first ones as they are
+    assert len(wide[3]) == 230 and np.allclose(head, narrow[3]) and len({tuple(np.sign(wide[3][k : k + 112])) for k in (0, 112)}) == 2
     user = embed_with(df, "id", "t", lambda ts: np.array([[len(t), 1.0] for t in ts]))
     assert {r.id: r.embedding for r in user.collect()}[3] == [7.0, 1.0]
 
