@@ -1,12 +1,15 @@
 """Near duplicates by one-permutation MinHash with optimal densification and star-shaped candidate edges.
 
 One hash per shingle: its top bits choose the bin, each bin keeps its smallest hash, and an empty bin borrows
-from the first full bin in a probe order of its own, the same for all documents. Five bins make a band key.
+from the first full bin in a probe order of its own, the same for all documents. As many bins make a band key
+as leave a pair at the threshold without a common band at most once in a million pairs (five at 0.85, four at 0.8).
 
 Equal shingle sets are one node from the start. In each band bucket the member that shares most buckets with
 others is the centre, and only centre-to-member edges are made, so a bucket of n sets gives n - 1 edges. An
 edge counts once the full shingle sets confirm it. Buckets whose members are not yet in one component get a
 new centre among the members that no centre has reached, and this goes on until a round finds no new link.
+Then the members that were no centre in a bucket are compared there with all such members of other components,
+set by set in blocks of bounded size, so that each pair with a common band is in one component or ruled out.
 """
 
 from __future__ import annotations
@@ -19,12 +22,23 @@ from pyspark.sql import functions as F
 from clausegrid.llm.arrays import SHINGLE_WORDS, mix, shingle_sets
 from clausegrid.session import materialize
 
-BINS, BANDS, BAND_ROWS = 128, 25, 5
+BINS, BAND_ROWS = 128, 5
 _BIN_BITS = 7
+#: A pair at the threshold may share no band with this chance at most.
+LEAST_MISS = 1e-6
 #: Pairs of sets with this many shingles each are estimated first; smaller ones go to the exact check at once.
 ESTIMATE_FROM = 256
 #: How far an estimate may lie under the threshold: six standard deviations of the match count at 0.85.
 ESTIMATE_SLACK = 0.2
+#: Bounds of a block of sets that is compared with another one in a task: sets, and shingles in all.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
+_SLICE = 4096
+
+
+def band_rows(percent: int) -> int:
+    """Bins of a band key, at most ``BAND_ROWS``."""
+    fits = [r for r in range(1, BAND_ROWS + 1) if (1 - (percent / 100) ** r) ** (BINS // r) <= LEAST_MISS]
+    return max(fits, default=1)
 
 
 def probe_ranks() -> np.ndarray:
@@ -46,10 +60,11 @@ def signature(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    parts = mix(values[: BANDS * BAND_ROWS]).reshape(BANDS, BAND_ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(BAND_ROWS):
+def band_keys(values: np.ndarray, per_band: int = BAND_ROWS) -> np.ndarray:
+    bands = BINS // per_band
+    parts = mix(values[: bands * per_band]).reshape(bands, per_band)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(per_band):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
     return key.view(np.int64)
 
@@ -61,7 +76,7 @@ def set_name(hashes: np.ndarray) -> bytes:
     return np.array([a, b]).tobytes()
 
 
-def sketches(docs: DataFrame, key: str, text: str, count: int = SHINGLE_WORDS) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, count: int = SHINGLE_WORDS, per_band: int = BAND_ROWS) -> DataFrame:
     """key, n_shingles, sid (name of the set), bands, low (one byte a bin); the last three null for an empty set."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -77,7 +92,7 @@ def sketches(docs: DataFrame, key: str, text: str, count: int = SHINGLE_WORDS) -
                     continue
                 values = signature(hashes, ranks)
                 names.append(set_name(hashes))
-                bands.append(band_keys(values))
+                bands.append(band_keys(values, per_band))
                 low.append((mix(values) & np.uint64(255)).astype(np.uint8).tobytes())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "sid", "bands", "low"])
@@ -176,9 +191,9 @@ def set_components(sets: DataFrame, rows: DataFrame, percent: int, count: int =
         centres = materialize(open_ones.groupBy("h").agg(F.max(F.struct("pop", "sid", "label")).alias("c")).select("h", F.col("c.sid").alias("centre"), F.col("c.label").alias("_own")), "centres")
         edges = now.join(centres, "h").filter(F.col("label") != F.col("_own")).select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
         likely = materialize(_likely(edges, sets, percent), "likely")
-        if likely.isEmpty():
-            return labels
         tried = centres.select("h", "centre") if tried is None else tried.union(centres.select("h", "centre"))
+        if likely.isEmpty():
+            break
         best = likely.groupBy("b").agg(F.max(F.struct("likeness", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
         found = materialize(_confirmed(best, texts, percent, count), "links")
         links, labels, grown = _grow(links, labels, found)
@@ -187,7 +202,79 @@ def set_components(sets: DataFrame, rows: DataFrame, percent: int, count: int =
         found = materialize(_confirmed(rest, texts, percent, count), "links")
         links, labels, more = _grow(links, labels, found)
         if not (grown or more):
-            return labels
+            break
+    left = _labelled(shared, labels, "sid", "label").join(tried.withColumnRenamed("centre", "sid"), ["h", "sid"], "left_anti")
+    found = materialize(_rest(left.select("h", "sid", "label"), sets, texts, percent, count), "links")
+    return _grow(links, labels, found)[1]
+
+
+def _rest(left: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, count: int) -> DataFrame:
+    """Links (a, b) between members (h, sid, label) of one bucket and different labels, all pairs by their full sets.
+
+    A label that fills more than a block in a bucket has blocks of its own, which never meet each other; the
+    members of the other labels are dealt over mixed blocks. Every two blocks of a bucket are a task's group.
+    """
+    several = left.groupBy("h").agg(F.min("label").alias("_one"), F.max("label").alias("_two")).filter("_one != _two").select("h")
+    left = materialize(left.join(several, "h").join(sets.select("sid", "n"), "sid"), "rest")
+    fill = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    by_label = left.groupBy("h", "label").agg(fill.alias("own"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    fill = F.greatest(F.ceil(F.sum("c") / BLOCK_SETS), F.ceil(F.sum("s") / BLOCK_SHINGLES))
+    mixed = by_label.filter("own = 1").groupBy("h").agg(fill.alias("mixed"))
+    dealt = left.join(by_label.select("h", "label", "own"), ["h", "label"]).join(mixed, "h", "left")
+    salt = F.pmod(F.xxhash64("sid", F.lit("block")), F.when(F.col("own") > 1, F.col("own")).otherwise(F.col("mixed")))
+    dealt = materialize(dealt.select("h", "sid", "label", F.struct(F.when(F.col("own") > 1, F.col("label")).alias("whole"), salt.alias("salt")).alias("block")), "blocks")
+    blocks = dealt.select("h", "block").distinct()
+    pairs = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "h").filter("x <= y and not coalesce(x.whole = y.whole, false)")
+    pairs = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+    met = pairs.join(dealt, ["h", "block"]).select("h", "x", "y", (F.col("block") == F.col("y")).alias("second"), "sid", "label")
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.tobytes() for own in shingle_sets(batch.column(1), count)], pa.binary())], ["sid", "hashes"])
+
+    needed = texts.join(dealt.select("sid").distinct(), "sid", "left_semi").select("sid", "text")
+    met = met.join(needed.mapInArrow(hashed, "sid binary, hashes binary"), "sid").select("h", "x", "y", "second", "sid", "label", "hashes")
+
+    def compared(group: pa.Table) -> pa.Table:
+        second = np.array(group["second"].to_pylist(), bool)
+        names, labels = group["sid"].to_pylist(), group["label"].to_pylist()
+        own = [np.frombuffer(v, np.uint64) for v in group["hashes"].to_pylist()]
+        right = np.flatnonzero(second)
+        same = second.all()  # a block with itself
+        rows = right if same else np.flatnonzero(~second)
+        common = common_counts([own[k] for k in rows], [own[k] for k in right])
+        sizes = np.array([len(v) for v in own])
+        hit = 100 * common >= percent * (sizes[rows][:, None] + sizes[right][None, :] - common)
+        if same:
+            hit &= np.tri(len(rows), k=-1, dtype=bool)
+        edges = [(names[rows[i]], names[right[j]]) for i, j in zip(*np.nonzero(hit)) if labels[rows[i]] != labels[right[j]]]
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
+
+    return met.groupBy("h", "x", "y").applyInArrow(compared, "a binary, b binary").distinct()
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of one list has in common with each of the other."""
+    out = np.zeros((len(one), len(two)), np.int64)
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (one, two)]
+    owner = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (one, two)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out
+    for k in (0, 1):
+        place = np.searchsorted(both, flat[k])
+        order = np.argsort(place, kind="stable")
+        order = order[both[np.minimum(place, len(both) - 1)][order] == flat[k][order]]
+        flat[k], owner[k] = place[order], owner[k][order]
+    for at in range(0, len(both), _SLICE):
+        sides = []
+        for k, n in ((0, len(one)), (1, len(two))):
+            a, b = np.searchsorted(flat[k], (at, at + _SLICE))
+            side = np.zeros((n, _SLICE), np.float32)
+            side[owner[k][a:b], flat[k][a:b] - at] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
 
 
 def _grow(links: DataFrame | None, labels: DataFrame | None, found: DataFrame):
@@ -216,7 +303,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     nothing. A row with a null key is linked with nothing, has a null component and is kept. Rows with equal
     keys are one document: they stay or go together if their texts are linked.
     """
-    rows = materialize(sketches(docs, key, text, count), "sketches")
+    rows = materialize(sketches(docs, key, text, count, band_rows(percent)), "sketches")
     sets = rows.filter(F.col("sid").isNotNull() & F.col("id").isNotNull()).groupBy("sid").agg(
         F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"),
     )

@@ -125,6 +125,53 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(rows[k].kept == (want[k] == k) for k in range(len(texts)))
 
 
+def components_in_buckets(spark, texts, bands):
+    """Numbers of the texts in each component if their band keys are the given ones."""
+    df = docs_frame(spark, texts)
+    place = {neardup.set_name(own): k for k, own in enumerate(shingle_sets(df.toArrow()["text"].combine_chunks(), 5))}
+    rows = neardup.sketches(df, "doc_id", "text").collect()
+    sets = spark.createDataFrame([(r.sid, r.id, r.n_shingles, bands[r.id], r.low) for r in rows], "sid binary, rep long, n long, bands array<long>, low binary")
+    groups = {}
+    labels = neardup.set_components(sets, df.withColumnRenamed("doc_id", "id"), 85)
+    for r in labels.collect() if labels else []:
+        groups.setdefault(bytes(r.label), set()).add(place[bytes(r.node)])
+    return sorted(groups.values(), key=min)
+
+
+def test_near_duplicates_of_a_crowded_template(spark, monkeypatch):
+    """Fill-ins of one template, none like another, crowd the bucket of two less popular ones that are near copies."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 16)
+    template = babble(300, 60).split()
+
+    def filled(k, changed=()):
+        words = list(template)
+        for j, at in enumerate(range(7, 300, 19)):
+            words[at] = f"v{k}x{j}"
+        for at in changed:
+            words[at] = f"u{at}"
+        return " ".join(words)
+
+    texts = [filled(k) for k in range(80)] + [filled(99), filled(99, (2, 150))]
+    assert true_components(true_sets(texts)) == [*range(81), 80]
+    assert components_in_buckets(spark, texts, [[1, 2, 3]] * 80 + [[1]] * 2) == [{80, 81}]
+
+
+def test_near_duplicates_chained_beside_the_centres(spark):
+    """One bucket of four sets, A~B, B~D, D~C: once A and then C were centres, only B~D is left."""
+    base = [f"w{k}" for k in range(460)]
+    texts = [" ".join(base[k : k + 400]) for k in (0, 20, 40, 60)]
+    sets = true_sets(texts)
+    assert true_components(sets) == [0] * 4 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.85
+    assert components_in_buckets(spark, texts, [[1, 10, 11, 12], [1], [1], [1, 10, 11, 12]]) == [{0, 1, 2, 3}]
+
+
+def test_common_counts_in_slices(monkeypatch):
+    monkeypatch.setattr(neardup, "_SLICE", 7)
+    draw = np.random.default_rng(1)
+    one, two = ([np.unique(draw.integers(0, 90, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 40), (60, 1, 33, 0)))
+    assert (neardup.common_counts(one, two) == [[len(np.intersect1d(a, b)) for b in two] for a in one]).all()
+
+
 def test_near_duplicates_null_and_repeated_keys(spark):
     long = babble(50, 6)
     df = spark.createDataFrame([(None, long), (5, long), (5, long), (3, babble(50, 7)), (7, None)], "doc_id long, text string")
