@@ -17,6 +17,8 @@ from clausegrid.session import load, materialize
 
 #: A text whose best language holds less than this share of its words has no language.
 LEAST_LANGUAGE = 0.4
+#: Texts are copies from this similarity of their word shingles on.
+COPY_PERCENT = 80
 
 
 def _passing(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], passes: Column, made: tuple[str, ...]) -> DataFrame:
@@ -41,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays; of repeated rows (doc_id and text) one stays."""
-    judged = materialize(neardup.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"), "kept")
+    judged = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), percent=COPY_PERCENT).select("doc_id", "kept"), "kept")
     gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = judged.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")

@@ -11,7 +11,7 @@ from compare import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausegrid.llm import ORACLES, QUERIES, language, toxicity
+from clausegrid.llm import ORACLES, QUERIES, language, neardup, toxicity
 from clausegrid.session import load, scratch_path
 
 
@@ -175,6 +175,14 @@ def test_pipeline_stages(spark):
     assert sorted(r.doc_id for r in final.collect()) == sorted(seen["decontamination"])
 
 
+def test_pipeline_drops_copies_from_four_fifths_on(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[k : k + 300]) for k in (0, 31, 90)]  # 265 of 327 shingles in common: 0.81
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
+    assert [neardup.band_rows(p) for p in (85, 80, 50)] == [5, 4, 2]
+
+
 def test_pipeline_of_nothing(spark):
     folder = scratch_path(spark, "empty")
     for table in ("documents", "labels", "benchmark"):
