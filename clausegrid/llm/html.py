@@ -2,7 +2,8 @@
 
 Markup is stripped first: scripts, styles, forms, and containers that say they are menus, headers, footers,
 sidebars, notices, adverts or comments leave an empty line. Every block element is a line; a section border
-is a gap of empty lines. Text lengths (link text does not count) are summed over sliding windows of lines.
+is a gap of empty lines. Text lengths (outside article and main, link text does not count) are summed over
+sliding windows of lines.
 Where the sums rise from nothing to the surge length is a surge point, where they fall to nothing again a
 dive point; text between the two is a candidate. Candidates inside an article or main element beat all
 others; the rest must hold a fair share of the longest one.
@@ -67,7 +68,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal held, linked
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, max(0, len(text) - linked), core > 0))
+            out.append((text, len(text) if core else max(0, len(text) - linked), core > 0))
         if gap and out and out[-1][0]:
             out.extend([("", 0, False)] * WINDOW_LINES)
         held, linked = [], 0

@@ -26,6 +26,13 @@ def test_article_of_a_page():
     assert html.main_text(PAGE) == "Head & line First paragraph here. Second line, with a link. Quoted"
 
 
+def test_links_in_articles_are_text():
+    links = "".join(f"<p><a href='{k}'>Source {k}</a></p>" for k in range(4))
+    listed = "Source 0 Source 1 Source 2 Source 3"
+    page = f"<nav><a>Home</a></nav><article><h1><a href='x'>Title</a></h1><p>First.</p>{links}<p>Second.</p>{links}</article><p><a>More</a></p>"
+    assert html.main_text(page) == f"Title First. {listed} Second. {listed}"
+
+
 def test_many_elements_that_never_end():
     """Adverts without an end, their texts too short to count; a page of them is read in one pass."""
     page = "<p>Start of the text.</p>" + "<div class='ad'>x" * 20000
