@@ -1,12 +1,14 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped first: scripts, styles, forms, and containers that say they are menus, headers, footers,
-sidebars, notices, adverts or comments leave an empty line. Every block element is a line; a section border
+sidebars, notices, adverts or comments leave an empty line, unless they hold an article or main element; those
+that say so by class, id or role only stay as well if they hold most of the page's text. A name says so if all
+its words do: cookie-notice does, has-sidebar does not. Every block element is a line; a section border
 is a gap of empty lines. Text lengths (outside article and main, link text does not count) are summed over
 sliding windows of lines.
 Where the sums rise from nothing to the surge length is a surge point, where they fall to nothing again a
 dive point; text between the two is a candidate. Candidates inside an article or main element beat all
-others; the rest must hold a fair share of the longest one.
+others; of the rest, all from the first to the last that hold a fair share of the longest one are kept.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_LINES = 3
-#: A candidate outside the longest one is kept from this share of its length on.
+#: A candidate is strong from this share of the longest one's length on.
 FAIR_SHARE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _OPEN_TAG = re.compile(r"<(?=[/!?a-zA-Z])")
 _HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_BETWEEN = re.compile(r"[-_:]+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "xmp"}
 _AROUND = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "object", "canvas", "audio", "video", "datalist", "fieldset"}
 _SECTION = {"html", "body", "main", "article", "section", "div", "td", "table"}
@@ -41,12 +43,14 @@ _SAYS = {
 }
 
 
-def _around(name: str, attributes: str) -> bool:
-    if name in _AROUND:
-        return True
-    if name in ("html", "body", "main", "article") and "comment" not in attributes:
-        return False
-    return any(w in _SAYS for m in _HINT.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def _says(attributes: str) -> bool:
+    """Whether a whole class, id or role is made of words that mark what is around the article."""
+    names = (n for m in _HINT.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split())
+    return any(w and all(x in _SAYS for x in w) for w in map(_parts, names))
+
+
+def _parts(name: str) -> list[str]:
+    return [x for x in _BETWEEN.split(name) if x]
 
 
 def _lines(page: str) -> list[tuple[str, int, bool]]:
@@ -63,6 +67,17 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     closing = [(m[1] if m[2] else m[4]) == "/" for m in tokens]
 
     end_of = _ends(names, closing)
+    says = [bool(n) and not c and n not in _VOID and n not in _RAW and n not in _AROUND and _says(m[3] or m[6] or "") for m, n, c in zip(tokens, names, closing)]
+    cores, texts = _held(page, tokens, names, closing, says)
+
+    def around(k: int) -> bool:
+        if closing[k] or not (says[k] or names[k] in _AROUND) or names[k] in _VOID:
+            return False
+        if k not in end_of:
+            return names[k] not in ("html", "body", "main", "article")
+        if cores[end_of[k]] > cores[k + 1]:
+            return False
+        return names[k] in _AROUND or 2 * (texts[end_of[k]] - texts[k]) <= texts[-1] + len(tail.strip())
 
     def flush(gap: bool) -> None:
         nonlocal held, linked
@@ -89,7 +104,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             at, tail = (stop.end(), tail) if stop else (len(page), "")
             if name not in ("svg", "math"):
                 flush(name != "script")
-        elif name and not closing[k] and name not in _VOID and _around(name, m[3] or m[6] or ""):
+        elif around(k):
             stop = end_of.get(k)
             flush(True)
             if stop is not None:
@@ -107,6 +122,21 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _held(page: str, tokens: list[re.Match], names: list[str], closing: list[bool], says: list[bool]) -> tuple[list[int], list[int]]:
+    """Before each token and past the last: article and main elements begun that do not say they are around the
+    article, and characters of text outside scripts and the like."""
+    cores, texts, raw, at = [0], [0], "", 0
+    for k, m in enumerate(tokens):
+        texts.append(texts[-1] + (0 if raw else len(page[at : m.start()].strip())))
+        at = m.end()
+        if not raw and not closing[k] and names[k] in _RAW:
+            raw = names[k]
+        elif raw and closing[k] and names[k] == raw:
+            raw = ""
+        cores.append(cores[-1] + (not closing[k] and names[k] in ("article", "main") and not says[k]))
+    return cores, texts[1:] + texts[-1:]
+
+
 def _ends(names: list[str], closing: list[bool]) -> dict[int, int]:
     """For each token that opens an element the token that closes it, if there is one; one pass over the page."""
     begun: dict[str, list[int]] = {}
@@ -143,7 +173,8 @@ def main_text(page: str | None) -> str:
     spans = core or spans
     weight = [sum(lengths[a:b]) for a, b in spans]
     least = 0 if core else FAIR_SHARE * max(weight)
-    return " ".join(lines[k][0] for (a, b), w in zip(spans, weight) if w >= least for k in range(a, b) if lines[k][0])
+    strong = [k for k, w in enumerate(weight) if w >= least]
+    return " ".join(lines[k][0] for a, b in spans[strong[0] : strong[-1] + 1] for k in range(a, b) if lines[k][0])
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -33,6 +33,33 @@ def test_links_in_articles_are_text():
     assert html.main_text(page) == f"Title First. {listed} Second. {listed}"
 
 
+LONG = "<p>" + "A sentence of the text. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("tag", [
+    "div class='content has-sidebar'", "div id='page' class='header-fixed'", "section class='search-result'", "section id='related-work'",
+    "div class='search'", "body class='comments-open'", "article class='post comments-open'", "article class='comment'",
+])
+def test_hints_that_hold_the_text(tag):
+    words = html.main_text(LONG)
+    assert html.main_text(f"<html><div class='ad'><p>Buy it</p></div><{tag}>{LONG}</{tag.split()[0]}></html>") == words
+    assert html.main_text(f"<div class='search'><p>Find</p><article>{LONG}</article></div>") == words
+    assert html.main_text(f"<form id='page'><div><article>{LONG}</article></div></form>") == words
+
+
+def test_whole_hints_are_cut():
+    words = html.main_text(LONG)
+    around = "".join(f"<div class='{c}'>{LONG[:90]}</p></div>" for c in ("box ad", "cookie-notice", "social_share", "comments"))
+    assert html.main_text(f"<body><div>{LONG}{LONG}</div>{around}</body>") == f"{words} {words}"
+    assert html.main_text(f"<article>{LONG}<section id='comments'><article class='comment'><p>No.</p></article></section></article>") == words
+
+
+def test_short_sections_between_long_ones_stay():
+    page = f"<section><p>Before.</p></section><section>{LONG}</section><section><h2>Short</h2><p>One.</p></section><section>{LONG}</section><section><p>After.</p></section>"
+    words = html.main_text(LONG)
+    assert html.main_text(page) == f"{words} Short One. {words}"
+
+
 def test_many_elements_that_never_end():
     """Adverts without an end, their texts too short to count; a page of them is read in one pass."""
     page = "<p>Start of the text.</p>" + "<div class='ad'>x" * 20000
