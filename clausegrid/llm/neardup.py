@@ -295,8 +295,8 @@ def _named(rows: DataFrame, count: int) -> DataFrame:
     return rows.select("sid", "text").mapInArrow(run, "sid binary, text string").dropDuplicates(["sid"])
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, count: int = SHINGLE_WORDS) -> DataFrame:
-    """key, n_shingles, component_id, kept for each row.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, count: int = SHINGLE_WORDS, named: bool = False) -> DataFrame:
+    """key, n_shingles, component_id, kept for each row; ``named`` adds sid, the name of its shingle set.
 
     Documents are linked if 100 * |common| >= percent * |union| of their shingle sets; component_id is the
     smallest key that can be reached, kept says that the row has it. Null or empty texts are linked with
@@ -314,5 +314,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     named = named.join(smallest, "label").select("sid", "component_id")
     out = rows.select("id", "n_shingles", "sid").join(named, "sid", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    out = out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
+    out = out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), *(["sid"] if named else []))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

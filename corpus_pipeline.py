@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from clausegrid.llm import bpe, decontam, language, neardup, toxicity
 from clausegrid.session import load, materialize
 
-#: A text whose best language holds less than this share of its words has no language.
-LEAST_LANGUAGE = 0.4
 #: Texts are copies from this similarity of their word shingles on.
 COPY_PERCENT = 80
 
@@ -29,10 +27,9 @@ def _passing(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], passes: C
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters or without a main language go; null and empty texts are among them."""
+    """Texts without letters go; null and empty texts are among them. Texts that mix languages stay."""
     model = language.fit(language.draw(docs))
-    passes = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)
-    return _passing(docs, lambda d: language.predict(d, model), passes, ("lang_pred", "score", "spans"))
+    return _passing(docs, lambda d: language.predict(d, model), F.col("lang_pred") != language.UNKNOWN, ("lang_pred", "score", "spans"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +39,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays; of repeated rows (doc_id and text) one stays."""
-    judged = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), percent=COPY_PERCENT).select("doc_id", "kept"), "kept")
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = judged.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """Of each group of near duplicates the smallest doc_id stays; of repeated rows (doc_id and text) one stays.
+    Rows of a repeated doc_id are judged each by its own text."""
+    judged = neardup.near_duplicates(docs.select("doc_id", "text"), percent=COPY_PERCENT, named=True)
+    judged = materialize(judged.select("doc_id", "sid", "kept"), "kept")
+    gone = judged.filter(~F.col("kept")).select("doc_id", "sid").distinct()
+    again = judged.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    left = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    names = neardup.sketches(once.select("text").distinct(), "text", "text").select(F.col("id").alias("text"), "sid")
+    copies = gone.join(again, "doc_id").join(names, "sid").select("doc_id", "text")
+    once = once.join(copies, ["doc_id", "text"], "left_anti").select(*docs.columns)
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 

@@ -183,6 +183,24 @@ def test_pipeline_drops_copies_from_four_fifths_on(spark):
     assert [neardup.band_rows(p) for p in (85, 80, 50)] == [5, 4, 2]
 
 
+def test_pipeline_judges_rows_of_a_repeated_key_by_their_texts(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, x), (5, x), (5, y), (5, y), (7, y), (8, z), (8, None), (None, x), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sid", F.lit("own"))
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(1, x), (5, y), (8, z), (8, None), (None, x), (None, x)]))
+
+
+def test_pipeline_keeps_texts_of_three_languages(spark, monkeypatch):
+    judged = lambda d, model: d.withColumns({"lang_pred": F.when(F.col("doc_id") == 1, "und").otherwise("en"), "score": F.lit(0.34), "spans": F.lit(None)})
+    monkeypatch.setattr(language, "draw", lambda docs: None)
+    monkeypatch.setattr(language, "fit", lambda rows: None)
+    monkeypatch.setattr(language, "predict", judged)
+    docs = spark.createDataFrame([(1, "12"), (2, "one zwei trois")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.keep_language(spark, docs, "").collect()] == [2]
+
+
 def test_pipeline_of_nothing(spark):
     folder = scratch_path(spark, "empty")
     for table in ("documents", "labels", "benchmark"):
