@@ -309,10 +309,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     sets = materialize(sets, "sets")
     labels = set_components(sets, docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), percent, count)
-    named = _labelled(sets.select("sid", "rep"), labels, "sid", "label")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "label").select("sid", "component_id")
-    out = rows.select("id", "n_shingles", "sid").join(named, "sid", "left")
+    grouped = _labelled(sets.select("sid", "rep"), labels, "sid", "label")
+    smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
+    grouped = grouped.join(smallest, "label").select("sid", "component_id")
+    out = rows.select("id", "n_shingles", "sid").join(grouped, "sid", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), *(["sid"] if named else []))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
