@@ -103,8 +103,9 @@ def estimate_theta(
     """Maximum-likelihood dispersion given the means: the zero of the score in theta.
 
     Every job evaluates the score on a whole grid; the bracket shrinks grid-fold per job. A bracket
-    that does not hold the zero is moved on; beyond 1 / ``widest`` and ``widest`` (where the score is as
-    small as its rounding errors) there is none, which is an error.
+    that does not hold the zero is moved on, up to 1 / ``widest`` and ``widest`` (beyond, the score is as
+    small as its rounding errors). A score that stays positive belongs to outcomes that vary no more than
+    a Poisson variable: the estimate is infinite. One that is negative from the lower end on is an error.
     """
     rows = df.select(F.col(y).cast("double").alias("y"), F.col(mu).cast("double").alias("m"))
 
@@ -119,10 +120,15 @@ def estimate_theta(
     while done < rounds:
         at = [math.exp(a + (b - a) * i / grid) for i in range(grid + 1)]
         got = scores(at)
-        if got[0] <= 0 or got[-1] > 0:
-            a, b = (2 * a - b, a) if got[0] <= 0 else (b, 2 * b - a)
-            if max(-b, a) >= math.log(widest):
-                raise RuntimeError("the dispersion has no estimate: the score keeps its sign")
+        if (got > 0).all():
+            if b >= math.log(widest):
+                return math.inf
+            a, b = b, min(2 * b - a, math.log(widest))
+            continue
+        if got[0] <= 0:
+            if a <= -math.log(widest):
+                raise RuntimeError("the dispersion has no estimate: the score is negative throughout")
+            a, b = max(2 * a - b, -math.log(widest)), a
             continue
         down = int(np.argmax(got <= 0))
         a, b, done = math.log(at[down - 1]), math.log(at[down]), done + 1
@@ -144,7 +150,8 @@ def fe_glm(
 
     Each effect is a list of key columns, e.g. [exporter, importer]. Standard errors are
     clustered by the first effect unless ``clusters`` says otherwise (one or two sets);
-    ``small_sample`` multiplies the covariance by (n - 1) / (n - K).
+    ``small_sample`` multiplies the covariance by (n - 1) / (n - K). Without overdispersion the negative
+    binomial's theta is infinite, and the fit is the Poisson one.
     """
     if family == "gaussian":
         return fe_ols(df, y, xs, effects, clusters, tol, small_sample)
@@ -159,11 +166,11 @@ def fe_glm(
     if family == "negbin":
         for _ in range(20):
             new = estimate_theta(state, "_y", "_mu")
-            if theta is not None and abs(new - theta) <= max(10 * tol, 1e-6) * theta:
+            if theta is not None and (new == theta or abs(new - theta) <= max(10 * tol, 1e-6) * theta):
                 break
             theta = new
             state, names, beta, gram, dev, n, tables = _irls(
-                live, y, xs, effects, keys, theta, tol, max_steps, warm=(state, tables)
+                live, y, xs, effects, keys, theta if math.isfinite(theta) else None, tol, max_steps, warm=(state, tables)
             )
         else:
             raise RuntimeError("the dispersion did not settle in 20 rounds")
