@@ -80,8 +80,7 @@ def fe_glm_gaussian(spark, sf):
 
 @query("fe_glm_negbin")
 def fe_glm_negbin(spark, sf):
-    effects = [["exporter"], ["importer"], ["year"]]
-    return glm.fe_glm(trade_with_counts(spark, sf), "export_value", ["n_clauses"], effects, "negbin", tol=TOL).tidy(spark, "negbin")
+    return glm.fe_glm(trade_with_counts(spark, sf), "export_value", ["n_clauses"], EFFECTS, "negbin", tol=TOL).tidy(spark, "negbin")
 
 
 def _wide(spark, sf):
@@ -102,13 +101,13 @@ def _wide(spark, sf):
 @query("sub_regressions")
 def sub_regressions(spark, sf):
     langs, wide = _wide(spark, sf)
-    return gravity.chapter_regressions(wide, langs, effects=[["exporter", "importer"], ["year"]])
+    return gravity.chapter_regressions(wide, langs, tol=TOL)
 
 
 @query("lagged_regression")
 def lagged_regression(spark, sf):
     df = trade_with_counts(spark, sf)
-    fit = glm.lagged_regression(df, "export_value", ["n_clauses"], 2, ["exporter", "importer"], "year", [["exporter", "importer"], ["year"]])
+    fit = glm.lagged_regression(df, "export_value", ["n_clauses"], 2, ["exporter", "importer"], "year", EFFECTS, tol=TOL)
     return fit.tidy(spark, "lag2")
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.econ.hdfe import Effects, absorb
-from clausegrid.econ.ols import Fit, fe_ols, independent, meat, moments, sandwich, small_sample_factor, summed
+from clausegrid.econ.hdfe import Effects, absorb, indexed, level_columns
+from clausegrid.econ.ols import Fit, fe_ols_groups, independent, meat, sandwich, small_sample_factor, summed
 from clausegrid.operators.panel import lag_panel
 from clausegrid.session import materialize
 
@@ -40,52 +42,106 @@ def _deviance(y: Column, mu: Column, theta: float | None) -> Column:
     return 2 * (own - (y + theta) * F.log((y + theta) / (mu + theta)))
 
 
+@dataclass
+class _Model:
+    """A regression that shares its passes with others: its number names its columns."""
+
+    number: int
+    xs: list[str]
+    theta: float | None = None
+    last: float = math.inf
+    done: bool = False
+    names: list[str] | None = None
+    beta: np.ndarray | None = None
+    gram: np.ndarray | None = None
+    deviance: float = float("nan")
+    rows: int = 0
+
+    def col(self, kind: str) -> str:
+        return f"_{kind}{self.number}"
+
+    @property
+    def dims(self) -> list[str]:
+        return [f"_r{self.number}_{j}" for j in range(len(self.xs))]
+
+    @property
+    def held(self) -> list[str]:
+        """Columns of a finished model: its weight, mean and regressors without effects."""
+        return [self.col("w"), self.col("mu"), *self.dims]
+
+
+def _block_moments(df: DataFrame, blocks: list[tuple[list[str], str]]) -> list[tuple[np.ndarray, int]]:
+    """Weighted products of each block (columns, weight) and the rows, all in one pass."""
+    sizes = [len(cols) for cols, _ in blocks]
+    wide = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for cols, w in blocks for c in [*cols, w]]
+
+    def part(z: np.ndarray) -> np.ndarray:
+        out, at = [], 0
+        for p in sizes:
+            x = np.column_stack([z[:, at : at + p], np.ones(len(z))])
+            out.append((x.T @ (x * z[:, at + p, None])).ravel())
+            at += p + 1
+        return np.append(np.concatenate(out), len(z))
+
+    total = summed(df.select(*[c.alias(f"c{i}") for i, c in enumerate(wide)]), part, sum((p + 1) ** 2 for p in sizes) + 1)
+    grams, at = [], 0
+    for p in sizes:
+        grams.append((total[at : at + (p + 1) ** 2].reshape(p + 1, p + 1), int(total[-1])))
+        at += (p + 1) ** 2
+    return grams
+
+
 def _irls(
-    df: DataFrame, y: str, xs: list[str], effects: Effects, keys: list[str], theta: float | None, tol: float, max_steps: int,
-    warm: tuple[DataFrame, dict] | None = None,
-) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, float, int, dict]:
-    """Weighted least squares until the deviance settles. Returns the final residual
-    table (xs without effects, raw xs as ``_x_``, ``_w``, ``_mu``, ``_y``), terms, estimates, Gram
-    matrix, deviance, rows and effect estimates. ``warm`` goes on from such a result.
-
-    Each step writes its rows once, and its projections go on from the estimates of the
-    step before; their tolerance tightens as the steps get smaller.
+    state: DataFrame, models: list[_Model], effects: Effects, base: list[str], tol: float, max_steps: int,
+    inner: float = 1e-4, tables: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Weighted least squares for all models that are not done, until each one's deviance settles.
+
+    ``state`` has ``base`` (keys, level numbers, ``_y``, the regressors), ``_eta<k>`` of open models and the held columns
+    of the others. A step writes its rows once for all models, and their projections share the passes, going on from
+    the estimates of the step before with a tolerance that tightens as the steps get smaller. A model that has settled
+    keeps its columns and leaves the passes. Returns the rows, written, with every model's held columns, and the
+    last estimates of the effects.
     """
-    mean = df.agg(F.avg(y)).first()[0]
-    state = df.select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs])
-    spread = state.agg(*[(F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.avg(x)).alias(x) for x in xs]).first()
-    scale = np.array([spread[x] or 0.0 for x in xs])
-    p, dims = len(xs), [f"_r_{x}" for x in xs]
-    state = state.withColumn("_eta", F.log((F.col("_y") + F.lit(mean)) / 2))
-    last, inner, tables = math.inf, 1e-4, None
-    if warm:
-        table, tables = warm
-        state = table.select(*keys, "_y", *[F.col(f"_x_{x}").alias(x) for x in xs], F.log("_mu").alias("_eta"))
-        inner = max(tol, 1e-9)
+    xs = list(dict.fromkeys(x for m in models for x in m.xs))
+    spread = state.agg(*[(F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.avg(x)).alias(x) for x in xs]).first() if xs else {}
     for _ in range(max_steps):
-        mu = F.exp("_eta")
-        w = mu if theta is None else mu / (1 + mu / theta)
-        z = F.col("_eta") + (F.col("_y") - mu) / mu
-        work = materialize(
-            state.select(*keys, "_y", *xs, w.alias("_w"), z.alias("_z"), z.alias("_zt"), *[F.col(x).alias(d) for x, d in zip(xs, dims)]),
-            "step",
-        )
-        flat, tables = absorb(work, ["_zt", *dims], effects, weight="_w", tol=inner, start=tables)
-        gram, n = moments(flat, [*dims, "_zt", F.lit(1.0)], F.col("_w"))
-        kept = independent(gram[:p, :p], scale * gram[p + 1, p + 1] / max(n, 1), 1e-10)
-        names = [xs[i] for i in kept]
-        beta = np.linalg.solve(gram[np.ix_(kept, kept)], gram[kept, p]) if kept else np.zeros(0)
-        fitted = sum((F.lit(float(b)) * F.col(dims[i]) for b, i in zip(beta, kept)), F.lit(0.0))
-        state = flat.withColumn("_eta", F.col("_z") - (F.col("_zt") - fitted))
-        dev = state.agg(F.sum(_deviance(F.col("_y"), F.exp("_eta"), theta))).first()[0]
-        change = abs(dev - last) / (0.1 + abs(dev))
-        if change < tol and inner <= max(tol, 1e-9):
-            raw = [F.col(x).alias(f"_x_{x}") for x in xs]
-            out = state.select(*keys, "_y", "_w", F.exp("_eta").alias("_mu"), *[F.col(d).alias(x) for x, d in zip(xs, dims)], *raw)
-            return materialize(out, "fit"), names, beta, gram[np.ix_(kept, kept)], dev, n, tables
+        live = [m for m in models if not m.done]
+        made = [F.col(c) for m in models if m.done for c in m.held]
+        for m in live:
+            mu = F.exp(m.col("eta"))
+            z = F.col(m.col("eta")) + (F.col("_y") - mu) / mu
+            w = mu if m.theta is None else mu / (1 + mu / m.theta)
+            made += [w.alias(m.col("w")), z.alias(m.col("z")), z.alias(m.col("zt")), *[F.col(x).alias(d) for x, d in zip(m.xs, m.dims)]]
+        work = materialize(state.select(*base, *made), "step")
+        weights = {c: m.col("w") for m in live for c in [m.col("zt"), *m.dims]}
+        if tables is not None and not {f"_a_{c}" for c in weights} <= set(tables.columns):
+            tables = None
+        flat, tables = absorb(work, list(weights), effects, weight=weights, tol=inner, start=tables)
+        grams = _block_moments(flat, [([*m.dims, m.col("zt")], m.col("w")) for m in live])
+        state, settled = flat, inner <= max(tol, 1e-9)
+        for m, (gram, m.rows) in zip(live, grams):
+            p = len(m.xs)
+            scale = np.array([spread[x] or 0.0 for x in m.xs])
+            kept = independent(gram[:p, :p], scale * gram[p + 1, p + 1] / max(m.rows, 1), 1e-10)
+            m.names, m.gram = [m.xs[i] for i in kept], gram[np.ix_(kept, kept)]
+            m.beta = np.linalg.solve(m.gram, gram[kept, p]) if kept else np.zeros(0)
+            fitted = sum((F.lit(float(b)) * F.col(m.dims[i]) for b, i in zip(m.beta, kept)), F.lit(0.0))
+            state = state.withColumn(m.col("eta"), F.col(m.col("z")) - (F.col(m.col("zt")) - fitted))
+        devs = state.agg(*[F.sum(_deviance(F.col("_y"), F.exp(m.col("eta")), m.theta)).alias(m.col("dev")) for m in live]).first()
+        change = 0.0
+        for m in live:
+            m.deviance = devs[m.col("dev")] or 0.0
+            moved = abs(m.deviance - m.last) / (0.1 + abs(m.deviance))
+            m.last, m.done = m.deviance, moved < tol and settled
+            if m.done:
+                state = state.withColumn(m.col("mu"), F.exp(m.col("eta")))
+            else:
+                change = max(change, moved)
+        if all(m.done for m in live):
+            return materialize(state.select(*base, *[c for m in models for c in m.held]), "fit"), tables
         if change < 1e-2:
             inner = max(min(inner, change * 1e-1), tol, 1e-9)
-        last = dev
     raise RuntimeError(f"no convergence in {max_steps} steps (last change {change:.2e})")
 
 
@@ -153,53 +209,94 @@ def fe_glm(
     ``small_sample`` multiplies the covariance by (n - 1) / (n - K). Without overdispersion the negative
     binomial's theta is infinite, and the fit is the Poisson one.
     """
+    return fe_glm_groups(df, y, {"": xs}, effects, family, clusters, tol, max_steps, small_sample)[""]
+
+
+def fe_glm_groups(
+    df: DataFrame,
+    y: str,
+    groups: dict[str, list[str]],
+    effects: Effects,
+    family: str = "poisson",
+    clusters: list[list[str]] | None = None,
+    tol: float = 1e-8,
+    max_steps: int = 60,
+    small_sample: bool = False,
+) -> dict[str, Fit]:
+    """``fe_glm`` for each group of regressors, all in the same jobs: the number of written tables is that of
+    the slowest regression, however many there are."""
     if family == "gaussian":
-        return fe_ols(df, y, xs, effects, clusters, tol, small_sample)
+        return fe_ols_groups(df, y, groups, effects, clusters, tol, small_sample)
     if family not in ("poisson", "negbin"):
         raise ValueError(f"unknown family {family}")
     clusters = clusters or [effects[0]]
     keys = list(dict.fromkeys(k for e in effects + clusters for k in e))
-    live = drop_empty_groups(df.select(*keys, y, *xs), y, effects)
-    theta = None
+    xs = list(dict.fromkeys(x for own in groups.values() for x in own))
+    live = drop_empty_groups(df.select(*keys, y, *[x for x in xs if x not in keys]), y, effects)
+    mean = live.agg(F.avg(y)).first()[0]
+    rows = indexed(live.select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs]), effects)
+    base = [*keys, *level_columns(effects), "_y", *xs]
+    models = [_Model(k, list(own)) for k, own in enumerate(groups.values())]
+    begin = F.log((F.col("_y") + F.lit(mean)) / 2)
+    state = rows.select(*base, *[begin.alias(m.col("eta")) for m in models])
     first = 1e-3 if family == "negbin" else tol
-    state, names, beta, gram, dev, n, tables = _irls(live, y, xs, effects, keys, None, first, max_steps)
+    state, tables = _irls(state, models, effects, base, first, max_steps)
     if family == "negbin":
+        known: dict[int, float] = {}
         for _ in range(20):
-            new = estimate_theta(state, "_y", "_mu")
-            if theta is not None and (new == theta or abs(new - theta) <= max(10 * tol, 1e-6) * theta):
+            for m in models:
+                if m.number in known and known[m.number] is None:
+                    continue
+                new = estimate_theta(state, "_y", m.col("mu"))
+                old = known.get(m.number)
+                m.done = old is not None and (new == old or abs(new - old) <= max(10 * tol, 1e-6) * old)
+                known[m.number] = new
+                m.theta, m.last = new if math.isfinite(new) else None, math.inf
+            if all(m.done for m in models):
                 break
-            theta = new
-            state, names, beta, gram, dev, n, tables = _irls(
-                live, y, xs, effects, keys, theta if math.isfinite(theta) else None, tol, max_steps, warm=(state, tables)
-            )
+            again = [m for m in models if not m.done]
+            eta = [F.log(m.col("mu")).alias(m.col("eta")) for m in again]
+            state = state.select(*base, *[c for m in models if m.done for c in m.held], *eta)
+            state, tables = _irls(state, models, effects, base, tol, max_steps, max(tol, 1e-9), tables)
+            for m in again:
+                m.done = False
         else:
             raise RuntimeError("the dispersion did not settle in 20 rounds")
-    bread = np.linalg.inv(gram) if names else np.zeros((0, 0))
-    score = F.col("_w") * (F.col("_y") - F.col("_mu")) / F.col("_mu")
-    cov = sandwich(bread, meat(state, names, score, clusters)) if names else bread
-    if small_sample:
-        cov = cov * small_sample_factor(state, n, len(names), effects, clusters)
-    return Fit(names, beta, cov, n, [x for x in xs if x not in names], dev, theta or float("nan"))
+    else:
+        known = {}
+    scored = {}
+    for m in models:
+        score = F.col(m.col("w")) * (F.col("_y") - F.col(m.col("mu"))) / F.col(m.col("mu"))
+        scored |= {f"_s{m.number}_{x}": F.col(m.dims[m.xs.index(x)]) * score for x in m.names}
+    rows = state.select(*keys, *[v.alias(n) for n, v in scored.items()])
+    filling = meat(rows, list(scored), F.lit(1.0), clusters) if scored else np.zeros((0, 0))
+    out, at = {}, 0
+    for name, m in zip(groups, models):
+        p = len(m.names)
+        bread = np.linalg.inv(m.gram) if p else np.zeros((0, 0))
+        cov = sandwich(bread, filling[at : at + p, at : at + p]) if p else bread
+        at += p
+        if small_sample:
+            cov = cov * small_sample_factor(state, m.rows, p, effects, clusters)
+        out[name] = Fit(m.names, m.beta, cov, m.rows, [x for x in m.xs if x not in m.names], m.deviance, known.get(m.number, float("nan")))
+    return out
 
 
 def sub_regressions(
     df: DataFrame, y: str, groups: dict[str, list[str]], effects: Effects, family: str = "poisson",
-    clusters: list[list[str]] | None = None,
+    clusters: list[list[str]] | None = None, tol: float = 1e-8,
 ) -> DataFrame:
-    """One regression per column group (e.g. the columns of a chapter), tidy rows stacked."""
-    out = None
-    for name, xs in groups.items():
-        tidy = fe_glm(df, y, xs, effects, family, clusters).tidy(df.sparkSession, name)
-        out = tidy if out is None else out.unionByName(tidy)
-    return out
+    """One regression per column group (e.g. the columns of a chapter), in shared jobs; tidy rows stacked."""
+    fits = fe_glm_groups(df, y, groups, effects, family, clusters, tol)
+    return reduce(DataFrame.unionByName, [fit.tidy(df.sparkSession, name) for name, fit in fits.items()])
 
 
 def lagged_regression(
     df: DataFrame, y: str, xs: list[str], k: int, unit: list[str], time: str, effects: Effects,
-    family: str = "poisson", clusters: list[list[str]] | None = None,
+    family: str = "poisson", clusters: list[list[str]] | None = None, tol: float = 1e-8,
 ) -> Fit:
     """Regression on the regressors of k years earlier; rows without that year are left out."""
     lagged = lag_panel(df, unit, time, xs, k)
     names = [f"{x}_lag{k}" for x in xs]
     full = materialize(lagged.na.drop(subset=names), "lagged")
-    return fe_glm(full, y, names, effects, family, clusters)
+    return fe_glm(full, y, names, effects, family, clusters, tol)

@@ -141,23 +141,49 @@ def fe_ols(
     Standard errors are clustered (by the first effect unless told otherwise), one or two ways;
     ``small_sample`` multiplies the covariance by (n - 1) / (n - K).
     """
+    return fe_ols_groups(df, y, {"": xs}, effects, clusters, tol, small_sample)[""]
+
+
+def fe_ols_groups(
+    df: DataFrame,
+    y: str,
+    groups: dict[str, list[str]],
+    effects: Effects,
+    clusters: list[list[str]] | None = None,
+    tol: float = 1e-8,
+    small_sample: bool = False,
+) -> dict[str, Fit]:
+    """``fe_ols`` for each group of regressors: the effects are taken out of all columns once, and one matrix of
+    their products serves every regression."""
     clusters = clusters or [effects[0]]
     keys = list(dict.fromkeys(k for e in effects + clusters for k in e))
+    xs = list(dict.fromkeys(x for own in groups.values() for x in own))
     base = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in [y, *xs]])
-    before = base.agg(*[(F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.avg(x)).alias(x) for x in xs]).first()
+    before = base.agg(*[(F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.avg(x)).alias(x) for x in xs]).first() if xs else {}
     flat = materialize(residualize(base, [y, *xs], effects, tol=tol), "flat")
     gram, n = moments(flat, [*xs, y])
     p = len(xs)
-    kept = independent(gram[:p, :p], np.array([before[x] or 0.0 for x in xs]))
-    names = [xs[i] for i in kept]
-    bread = np.linalg.inv(gram[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
-    beta = bread @ gram[kept, p]
-    error = F.col(y) - sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, names)), F.lit(0.0))
-    cov = sandwich(bread, meat(flat, names, error, clusters)) if kept else bread
-    if small_sample:
-        cov = cov * small_sample_factor(flat, n, len(names), effects, clusters)
-    ssr = gram[p, p] - float(beta @ gram[kept, p]) if kept else gram[p, p]
-    return Fit(names, beta, cov, n, [x for x in xs if x not in names], deviance=ssr)
+    fits, scored = {}, {}
+    for k, (name, own) in enumerate(groups.items()):
+        at = [xs.index(x) for x in own]
+        kept = [at[i] for i in independent(gram[np.ix_(at, at)], np.array([before[x] or 0.0 for x in own]))]
+        names = [xs[i] for i in kept]
+        bread = np.linalg.inv(gram[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
+        beta = bread @ gram[kept, p]
+        error = F.col(y) - sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, names)), F.lit(0.0))
+        scored |= {f"_s{k}_{x}": F.col(x) * error for x in names}
+        ssr = gram[p, p] - float(beta @ gram[kept, p]) if kept else gram[p, p]
+        fits[name] = Fit(names, beta, bread, n, [x for x in own if x not in names], deviance=ssr)
+    rows = flat.select(*keys, *[v.alias(c) for c, v in scored.items()])
+    filling, at = meat(rows, list(scored), F.lit(1.0), clusters) if scored else np.zeros((0, 0)), 0
+    for fit in fits.values():
+        size = len(fit.terms)
+        if size:
+            fit.covariance = sandwich(fit.covariance, filling[at : at + size, at : at + size])
+        if small_sample:
+            fit.covariance = fit.covariance * small_sample_factor(flat, n, size, effects, clusters)
+        at += size
+    return fits
 
 
 def rank_check(df: DataFrame, cols: list[str], tol: float = 1e-9) -> tuple[int, list[str]]:

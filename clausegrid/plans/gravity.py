@@ -27,8 +27,9 @@ def design(trade: DataFrame, panel: DataFrame, clause_ids: list[str]) -> DataFra
 
 
 def chapter_regressions(
-    panel: DataFrame, chapters: list[str], y: str = "export_value", effects: list | None = None, family: str = "poisson"
+    panel: DataFrame, chapters: list[str], y: str = "export_value", effects: list | None = None, family: str = "poisson",
+    tol: float = 1e-8,
 ) -> DataFrame:
-    """One regression per chapter on the columns that start with its name."""
+    """One regression per chapter on the columns that start with its name, all in the same jobs."""
     groups = {c: columns_like(panel, f"^{c}_") for c in chapters}
-    return sub_regressions(panel, y, {c: xs for c, xs in groups.items() if xs}, effects or GRAVITY_EFFECTS, family)
+    return sub_regressions(panel, y, {c: xs for c, xs in groups.items() if xs}, effects or GRAVITY_EFFECTS, family, tol=tol)

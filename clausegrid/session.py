@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,13 +55,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+#: Paths written inside each ``passing_tables``, the innermost last.
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are removed at the end, but for the lasting ones.
+
+    For jobs whose result is written inside as a lasting table: its retries read no other.
+    """
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, label: str = "stage", lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative jobs. The written table survives executor
-    loss, is computed once, and gives AQE exact sizes for the next join.
+    loss, is computed once, and gives AQE exact sizes for the next join. A ``lasting`` table
+    outlives the innermost ``passing_tables``.
     """
     path = scratch_path(df.sparkSession, label)
+    scopes = _PASSING[:-1] if lasting else _PASSING
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -156,3 +156,98 @@ def test_small_sample_factor_counts_open_effects(spark):
     plain = ols.fe_ols(df, "y", ["x"], [["a"], ["b"]])
     scaled = ols.fe_ols(df, "y", ["x"], [["a"], ["b"]], small_sample=True)
     assert np.allclose(scaled.covariance, plain.covariance * 59 / (60 - 1 - 4))  # a is the cluster, b has four levels
+
+
+def chained(n):
+    """Two effects that meet in a chain only: level k of one meets levels k and k + 1 of the other."""
+    rng = np.random.default_rng(9)
+    return [(k, k + step, float(rng.normal()), float(rng.normal())) for k in range(n) for step in (0, 1)]
+
+
+@pytest.mark.parametrize("fetched", [0, 4_000_000])
+def test_badly_connected_effects_settle_in_few_passes(spark, monkeypatch, fetched):
+    monkeypatch.setattr(hdfe, "MOST_FETCHED", fetched)
+    rows = chained(16)
+    df = spark.createDataFrame(rows, "a int, b int, x double, y double")
+    history: list[float] = []
+    flat, _ = hdfe.absorb(df, ["x", "y"], [["a"], ["b"]], tol=1e-8, history=history)
+    d = np.zeros((32, 33))
+    for i, r in enumerate(rows):
+        d[i, r[0]] = d[i, 16 + r[1]] = 1
+    v = np.array([r[2:] for r in rows])
+    want = v - d @ np.linalg.lstsq(d, v, rcond=None)[0]
+    got = np.array([tuple(r) for r in flat.orderBy("a", "b").select("x", "y").collect()])
+    assert np.allclose(got, want, atol=1e-6)
+    turns, rest = 0, v.copy()
+    while turns < 2000:  # subtracting means in turn
+        for at in (0, 1):
+            keys = [r[at] for r in rows]
+            means = {k: rest[[q == k for q in keys]].mean(axis=0) for k in set(keys)}
+            rest = rest - np.array([means[k] for k in keys])
+        turns += 1
+        if np.abs(rest - want).max() < 1e-6:
+            break
+    assert 2 * (len(history) - 1) <= turns
+
+
+@pytest.fixture(scope="module")
+def trade(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for e in range(6):
+        for i in range(6):
+            for t in range(5):
+                if e == i or rng.random() < 0.15:
+                    continue
+                a, b, c = (float(v) for v in rng.normal(size=3))
+                mu = np.exp(2 + 0.3 * a - 0.2 * b + 0.1 * c + 0.1 * e - 0.05 * i + 0.1 * rng.normal())
+                rows.append((e, i, t, a, b, c, float(rng.poisson(mu * rng.gamma(3, 1 / 3))) + 0.5))
+    return rows, spark.createDataFrame(rows, "e int, i int, t int, a double, b double, c double, y double")
+
+
+GRAVITY = [["e", "i"], ["e", "t"], ["i", "t"]]
+
+
+def gravity_dummies(rows, at):
+    sets = [sorted({(r[p], r[q]) for r in rows}) for p, q in ((0, 1), (0, 2), (1, 2))]
+    d = [[float((r[p], r[q]) == v) for r in rows] for (p, q), own in zip(((0, 1), (0, 2), (1, 2)), sets) for v in own]
+    return np.column_stack([[r[k] for r in rows] for k in at] + d), np.array([r[6] for r in rows])
+
+
+def test_chapter_regressions_share_their_jobs(trade, monkeypatch):
+    rows, df = trade
+    groups = {"one": ["a", "b"], "two": ["c"], "three": ["a", "c"]}
+    written = []
+    kept = {m: m.materialize for m in (hdfe, glm)}
+    for m in kept:
+        monkeypatch.setattr(m, "materialize", lambda d, label="stage", m=m: written.append(label) or kept[m](d, label))
+    fits = glm.fe_glm_groups(df, "y", groups, GRAVITY, "poisson", tol=1e-7)
+    together = len(written)
+    for name, xs in groups.items():
+        want, _ = irls(*gravity_dummies(rows, [3 + "abc".index(x) for x in xs]))
+        assert np.allclose(fits[name].estimate, want[: len(xs)], atol=1e-5)
+    written.clear()
+    single = glm.fe_glm(df, "y", ["a", "b"], GRAVITY, "poisson", tol=1e-7)
+    assert np.allclose(fits["one"].estimate, single.estimate, atol=1e-6) and np.allclose(fits["one"].covariance, single.covariance, rtol=1e-4)
+    assert together <= len(written) + 2
+
+
+def test_negbin_and_lags_with_pair_effects(trade):
+    rows, df = trade
+    fit = glm.fe_glm(df, "y", ["a"], GRAVITY, "negbin", tol=1e-6)
+    want, _ = irls(*gravity_dummies(rows, [3]), fit.theta)
+    assert abs(fit.estimate[0] - want[0]) < 1e-4
+    lagged = glm.lagged_regression(df, "y", ["a"], 1, ["e", "i"], "t", GRAVITY, tol=1e-7)
+    before = {r[:3]: r for r in rows}
+    late = [(*r[:3], before[(r[0], r[1], r[2] - 1)][3], *r[4:]) for r in rows if (r[0], r[1], r[2] - 1) in before]
+    want, _ = irls(*gravity_dummies(late, [3]))
+    assert np.allclose(lagged.estimate, want[:1], atol=1e-5)
+
+
+def test_block_least_squares(trade):
+    _, df = trade
+    groups = {"one": ["a", "b"], "two": ["c"]}
+    fits = ols.fe_ols_groups(df, "y", groups, GRAVITY)
+    for name, xs in groups.items():
+        single = ols.fe_ols(df, "y", xs, GRAVITY)
+        assert fits[name].terms == xs and np.allclose(fits[name].estimate, single.estimate) and np.allclose(fits[name].covariance, single.covariance)
