@@ -6,10 +6,9 @@ as leave a pair at the threshold without a common band at most once in a million
 
 Equal shingle sets are one node from the start. In each band bucket the member that shares most buckets with
 others is the centre, and only centre-to-member edges are made, so a bucket of n sets gives n - 1 edges. An
-edge counts once the full shingle sets confirm it. Buckets whose members are not yet in one component get a
-new centre among the members that no centre has reached, and this goes on until a round finds no new link.
-Then the members that were no centre in a bucket are compared there with all such members of other components,
-set by set in blocks of bounded size, so that each pair with a common band is in one component or ruled out.
+edge counts once the full shingle sets confirm it. Then all members of a bucket that are not yet in one component are
+compared set by set, in blocks of bounded size, the centre among them, so that each pair with a common band is in one
+component or ruled out by its full sets. Sketches only spare the centres' edges texts that are not likely to link.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.llm.arrays import SHINGLE_WORDS, mix, shingle_sets
-from clausegrid.session import materialize
+from clausegrid.session import materialize, passing_tables
 
 BINS, BAND_ROWS = 128, 5
 _BIN_BITS = 7
@@ -33,6 +32,8 @@ ESTIMATE_SLACK = 0.2
 #: Bounds of a block of sets that is compared with another one in a task: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
 _SLICE = 4096
+#: Doublings of the steps of a round towards the smallest node.
+JUMPS = 3
 
 
 def band_rows(percent: int) -> int:
@@ -145,18 +146,21 @@ def _confirmed(edges: DataFrame, texts: DataFrame, percent: int, count: int) ->
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): the smallest node that can be reached.
 
-    Each round takes the smallest label of all neighbours, then the label of that label, until nothing changes.
+    Each round every node goes to its smallest neighbour, or stays if it is smaller, and on along such steps; links
+    between the places reached are what the next round works on, so the graph shrinks until none are left.
     """
-    ways = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ways")
-    labels = materialize(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        near = ways.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "lower")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialize(lower.join(jump, "label").select("node", "old", F.col("further").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.filter(F.col("old") != F.col("label")).isEmpty():
-            return labels
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "ways")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        steps = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "steps")
+        for _ in range(JUMPS):
+            steps = steps.join(steps.select(F.col("node").alias("label"), F.col("label").alias("_on")), "label").select("node", F.col("_on").alias("label"))
+        steps = materialize(steps, "steps")
+        labels = steps if labels is None else _labelled(labels.withColumnRenamed("label", "_at"), steps, "_at", "label").select("node", "label")
+        ends = _labelled(_labelled(edges, steps, "a", "_a"), steps, "b", "_b").filter("_a <> _b")
+        edges = materialize(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "ways")
+    return materialize(labels, "labels")
 
 
 def _labelled(df: DataFrame, labels: DataFrame | None, node: str, out: str) -> DataFrame:
@@ -179,33 +183,21 @@ def set_components(sets: DataFrame, rows: DataFrame, percent: int, count: int =
     shared = materialize(shared.join(shared.groupBy("sid").agg(F.sum("size").alias("pop")), "sid").select("h", "sid", "pop"), "buckets")
     wanted = sets.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("rep").alias("id"))
     texts = materialize(_named(rows.join(wanted, "id"), count), "texts")
-    links, labels, tried = None, None, None
-    while True:
-        now = _labelled(shared, labels, "sid", "label")
-        if tried is None:
-            open_ones = now
-        else:
-            now = materialize(now, "buckets-now")
-            reached = _labelled(tried, labels, "centre", "label").select("h", "label").distinct()
-            open_ones = now.join(reached, ["h", "label"], "left_anti")
-        centres = materialize(open_ones.groupBy("h").agg(F.max(F.struct("pop", "sid", "label")).alias("c")).select("h", F.col("c.sid").alias("centre"), F.col("c.label").alias("_own")), "centres")
-        edges = now.join(centres, "h").filter(F.col("label") != F.col("_own")).select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
-        likely = materialize(_likely(edges, sets, percent), "likely")
-        tried = centres.select("h", "centre") if tried is None else tried.union(centres.select("h", "centre"))
-        if likely.isEmpty():
-            break
-        best = likely.groupBy("b").agg(F.max(F.struct("likeness", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
-        found = materialize(_confirmed(best, texts, percent, count), "links")
-        links, labels, grown = _grow(links, labels, found)
-        rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-        rest = _labelled(_labelled(rest, labels, "a", "_a"), labels, "b", "_b").filter("_a != _b").select("a", "b")
-        found = materialize(_confirmed(rest, texts, percent, count), "links")
-        links, labels, more = _grow(links, labels, found)
-        if not (grown or more):
-            break
-    left = _labelled(shared, labels, "sid", "label").join(tried.withColumnRenamed("centre", "sid"), ["h", "sid"], "left_anti")
-    found = materialize(_rest(left.select("h", "sid", "label"), sets, texts, percent, count), "links")
-    return _grow(links, labels, found)[1]
+    centres = shared.groupBy("h").agg(F.max(F.struct("pop", "sid")).alias("c")).select("h", F.col("c.sid").alias("a"))
+    edges = shared.join(centres, "h").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    likely = materialize(_likely(edges, sets, percent), "likely").select("a", "b")
+    found = materialize(_confirmed(likely, texts, percent, count), "links")
+    labels = None if found.isEmpty() else components(found)
+    left = _labelled(shared, labels, "sid", "label").select("h", "sid", "label")
+    found = materialize(_rest(left, sets, texts, percent, count), "links")
+    if found.isEmpty():
+        return labels
+    ends = _labelled(_labelled(found, labels, "a", "_a"), labels, "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    more = components(ends)
+    if labels is None:
+        return more
+    further = _labelled(labels.withColumnRenamed("label", "_at"), more, "_at", "label").select("node", "label")
+    return further.union(more.join(labels.select("node"), "node", "left_anti").select("node", "label"))
 
 
 def _rest(left: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, count: int) -> DataFrame:
@@ -277,13 +269,6 @@ def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _grow(links: DataFrame | None, labels: DataFrame | None, found: DataFrame):
-    if found.isEmpty():
-        return links, labels, False
-    links = found if links is None else links.union(found)
-    return links, components(links), True
-
-
 def _named(rows: DataFrame, count: int) -> DataFrame:
     """Rows (id, text, sid) whose text has that very set; other texts under a repeated id go."""
 
@@ -303,16 +288,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     nothing. A row with a null key is linked with nothing, has a null component and is kept. Rows with equal
     keys are one document: they stay or go together if their texts are linked.
     """
-    rows = materialize(sketches(docs, key, text, count, band_rows(percent)), "sketches")
-    sets = rows.filter(F.col("sid").isNotNull() & F.col("id").isNotNull()).groupBy("sid").agg(
-        F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"),
-    )
-    sets = materialize(sets, "sets")
-    labels = set_components(sets, docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), percent, count)
-    grouped = _labelled(sets.select("sid", "rep"), labels, "sid", "label")
-    smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    grouped = grouped.join(smallest, "label").select("sid", "component_id")
-    out = rows.select("id", "n_shingles", "sid").join(grouped, "sid", "left")
+    spark = docs.sparkSession
+    with passing_tables(spark):
+        rows = materialize(sketches(docs, key, text, count, band_rows(percent)), "sketches")
+        sets = rows.filter(F.col("sid").isNotNull() & F.col("id").isNotNull()).groupBy("sid").agg(
+            F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"),
+        )
+        sets = materialize(sets, "sets")
+        labels = set_components(sets, docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), percent, count)
+        grouped = _labelled(sets.select("sid", "rep"), labels, "sid", "label")
+        smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
+        grouped = grouped.join(smallest, "label").select("sid", "component_id")
+        out = materialize(rows.select("id", "n_shingles", "sid").join(grouped, "sid", "left"), "components", lasting=True)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), *(["sid"] if named else []))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
