@@ -1,9 +1,12 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped first: scripts, styles, forms, and containers that say they are menus, headers, footers,
-sidebars, notices, adverts or comments leave an empty line, unless they hold an article or main element; those
-that say so by class, id or role only stay as well if they hold most of the page's text. A name says so if all
-its words do: cookie-notice does, has-sidebar does not. Every block element is a line; a section border
+sidebars, notices, adverts or comments leave an empty line (an inline element a blank), unless they hold an article or
+main element; those that say so by class, id or role only stay as well if they hold the page's leading run of
+paragraphs. That is the longest run of those in the fewest such containers, so comments never count for it while any
+paragraph stands outside. A name says so if it begins or ends with such a word and its other words are those of
+layout: cookie-notice and main-nav do, has-sidebar and related-work do not. A header inside article or main is the
+article's own. Every block element is a line; a section border
 is a gap of empty lines. Text lengths (outside article and main, link text does not count) are summed over
 sliding windows of lines.
 Where the sums rise from nothing to the surge length is a surge point, where they fall to nothing again a
@@ -43,10 +46,22 @@ _SAYS = {
 }
 
 
-def _says(attributes: str) -> bool:
-    """Whether a whole class, id or role is made of words that mark what is around the article."""
-    names = (n for m in _HINT.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split())
-    return any(w and all(x in _SAYS for x in w) for w in map(_parts, names))
+#: Words that such names have beside them.
+_LAYOUT = {
+    "list", "lists", "section", "container", "box", "bar", "area", "wrap", "wrapper", "left", "right", "top", "bottom", "site", "main", "post", "posts",
+    "page", "button", "buttons", "block", "panel", "inner", "outer", "group", "item", "items", "row", "column", "global", "primary", "secondary", "article", "articles",
+}
+
+
+def _says(attributes: str) -> set[str]:
+    """The words by which a class, id or role says that it is around the article."""
+    found = set()
+    for m in _HINT.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = _parts(name)
+            if words and (words[0] in _SAYS or words[-1] in _SAYS) and all(x in _SAYS or x in _LAYOUT for x in words):
+                found.update(x for x in words if x in _SAYS)
+    return found
 
 
 def _parts(name: str) -> list[str]:
@@ -67,8 +82,10 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     closing = [(m[1] if m[2] else m[4]) == "/" for m in tokens]
 
     end_of = _ends(names, closing)
-    says = [bool(n) and not c and n not in _VOID and n not in _RAW and n not in _AROUND and _says(m[3] or m[6] or "") for m, n, c in zip(tokens, names, closing)]
-    cores, texts = _held(page, tokens, names, closing, says)
+    said = [_says(m[3] or m[6] or "") if n and not c and n not in _VOID and n not in _RAW and n not in _AROUND else set() for m, n, c in zip(tokens, names, closing)]
+    says = [bool(x) for x in said]
+    cores = _cores(names, closing, says)
+    leading = _leading(page, tokens, names, closing, says, end_of)
 
     def around(k: int) -> bool:
         if closing[k] or not (says[k] or names[k] in _AROUND) or names[k] in _VOID:
@@ -77,7 +94,9 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             return names[k] not in ("html", "body", "main", "article")
         if cores[end_of[k]] > cores[k + 1]:
             return False
-        return names[k] in _AROUND or 2 * (texts[end_of[k]] - texts[k]) <= texts[-1] + len(tail.strip())
+        if core and (names[k] == "header" or says[k] and said[k] == {"header"}):
+            return False
+        return names[k] in _AROUND or not k < leading < end_of[k]
 
     def flush(gap: bool) -> None:
         nonlocal held, linked
@@ -106,7 +125,10 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
                 flush(name != "script")
         elif around(k):
             stop = end_of.get(k)
-            flush(True)
+            if stop is not None and name not in _SECTION and name not in _BLOCK and name not in _AROUND:
+                held.append(" ")
+            else:
+                flush(True)
             if stop is not None:
                 at, k = tokens[stop].end(), stop
         elif name == "a":
@@ -122,19 +144,43 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def _held(page: str, tokens: list[re.Match], names: list[str], closing: list[bool], says: list[bool]) -> tuple[list[int], list[int]]:
-    """Before each token and past the last: article and main elements begun that do not say they are around the
-    article, and characters of text outside scripts and the like."""
-    cores, texts, raw, at = [0], [0], "", 0
-    for k, m in enumerate(tokens):
-        texts.append(texts[-1] + (0 if raw else len(page[at : m.start()].strip())))
-        at = m.end()
-        if not raw and not closing[k] and names[k] in _RAW:
-            raw = names[k]
-        elif raw and closing[k] and names[k] == raw:
-            raw = ""
-        cores.append(cores[-1] + (not closing[k] and names[k] in ("article", "main") and not says[k]))
-    return cores, texts[1:] + texts[-1:]
+def _cores(names: list[str], closing: list[bool], says: list[bool]) -> list[int]:
+    """Before each token and past the last: article and main elements begun that do not say they are around the article."""
+    out = [0]
+    for name, close, said in zip(names, closing, says):
+        out.append(out[-1] + (not close and name in ("article", "main") and not said))
+    return out
+
+
+def _leading(page: str, tokens: list[re.Match], names: list[str], closing: list[bool], says: list[bool], end_of: dict[int, int]) -> int:
+    """The token that begins the leading run: paragraphs that follow one another without another block in between,
+    in the fewest containers that are or say they are around the article, and the longest of those. -1 without paragraphs."""
+    best, run, deep, ends = (0, 0, -1), None, 0, []
+    raw_until = -1
+    for k, name in enumerate(names):
+        while ends and ends[-1] < k:
+            ends.pop()
+            deep -= 1
+        if k < raw_until or not name:
+            continue
+        if not closing[k] and name in _RAW:
+            raw_until = end_of.get(k, k)
+        if not closing[k] and (says[k] or name in _AROUND) and name not in _VOID and k in end_of:
+            deep, run = deep + 1, None
+            ends.append(end_of[k])
+        elif name == "p":
+            if not closing[k]:
+                stop = tokens[k + 1 : k + 2]
+                last = end_of.get(k)
+                until = tokens[last].start() if last is not None else (stop[0].start() if stop else len(page))
+                if run is None:
+                    run = [0, k]
+                run[0] += until - tokens[k].end()
+                if best[2] < 0 or (-deep, run[0]) > best[:2]:
+                    best = (-deep, run[0], run[1])
+        elif name in _SECTION or name in _BLOCK:
+            run = None
+    return best[2]
 
 
 def _ends(names: list[str], closing: list[bool]) -> dict[int, int]:
