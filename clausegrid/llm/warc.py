@@ -188,10 +188,11 @@ def read_range(store, path: str, start: int, end: int, size: int):
 
 
 def read_archive(spark: SparkSession, report: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records of the reported files (schema ``RECORD``). Ranges are spread over tasks by file and place."""
+    """All records of the reported files (schema ``RECORD``). Each range is dealt to a task of its own number, so the
+    tasks grow with the bytes; a number that is given is not merged at run time."""
     ranges = report.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / range_bytes))).alias("part"))
     ranges = ranges.select("path", "bytes", (F.col("part") * range_bytes).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    ranges = ranges.repartition(max(1, ranges.count()), F.col("path"), F.col("start"))
 
     def run(batches):
         store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
