@@ -2,7 +2,8 @@
 
 Texts are cut at white space and the chunks of each document counted. A task adds its documents up per language,
 source and chunk before anything is shuffled: occurrences, distinct documents, and the first and last document
-that has the chunk. Each globally distinct chunk is then cut into terms once, and the terms join the counted chunks.
+that has the chunk. The counts of a chunk meet in one row (an entry for each language and source), so that each globally
+distinct chunk is cut into terms once, and its terms join all its counts there.
 
 A term is kept if it stands in at least ``least`` documents of the language. Documents of two chunks of a term may
 be the same, so their numbers do not add up; but a chunk of one or two documents names them (first and last),
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 from clausegrid.session import materialize
 
 #: Entries that a task holds before it hands its counts on.
-HELD = 100_000
+HELD = 250_000
 #: Documents that a chunk can name.
 MOST_LEAST = 3
 SCALE = 1_000_000_000
@@ -39,19 +40,16 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 def chunk_counts(docs: DataFrame) -> DataFrame:
     """lang, source, chunk, n (occurrences), docs, first, last (document numbers), as often as a task hands on.
 
-    Nulls are empty; A-Z are lower-cased. Every lang and source that occurs has a row with an empty chunk, which
-    no document counts for. A row is a document, also if it repeats another.
+    Nulls are empty; A-Z are lower-cased. A row is a document, also if it repeats another.
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def handed(groups):
         for (lang, source), (n, held, first, last) in groups.items():
-            chunks = [b"", *n]
-            size = len(chunks)
+            size = len(n)
             columns = [
-                pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()),
-                pa.array([0, *n.values()], pa.int64()), pa.array([0, *(held[c] for c in n)], pa.int64()),
-                pa.array([0, *(first[c] for c in n)], pa.int64()), pa.array([0, *(last[c] for c in n)], pa.int64()),
+                pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()),
+                *[pa.array(list(map(counts.__getitem__, n)), pa.int64()) for counts in (n, held, first, last)],
             ]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "chunk", "n", "docs", "first", "last"])
 
@@ -77,27 +75,36 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, source string, chunk string, n long, docs long, first long, last long")
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """chunk, term, times from a column ``chunk``: every distinct chunk is cut once."""
-    return chunks.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), 0)).alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
+def term_rows(counted: DataFrame) -> DataFrame:
+    """lang, source, term, n, docs, first, last from counts per chunk, lang and source.
+
+    The counts of a chunk, one entry for each lang and source, meet in one row, where the chunk is cut once. A chunk
+    that holds a term several times counts it as often.
+    """
+    entry = F.struct("lang", "source", "n", "docs", "first", "last")
+    rows = counted.groupBy("chunk").agg(F.collect_list(entry).alias("entries"))
+    terms = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
+    rows = rows.select("entries", terms.alias("terms")).filter(F.size("terms") > 0)
+    return rows.select("entries", F.explode("terms").alias("term")).select("term", F.inline("entries"))
 
 
 def term_counts(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(groups, kept): lang, source of every group that occurs; lang, source, term, n of the terms that stand in at
-    least ``least`` documents of the language, for the sources that have them."""
+    """(groups, kept), written: lang, source of every group that occurs; lang, source, term, n, whole, leads of the
+    terms that stand in at least ``least`` documents of the language, for the sources that have them. ``whole`` is
+    n for the language, and one row of each term of a language leads."""
     if not 1 <= least <= MOST_LEAST:
         raise ValueError(f"least is {least}; a chunk names at most {MOST_LEAST - 1} documents, so 1 to {MOST_LEAST} can be told")
     counted = chunk_counts(docs).repartition("chunk").groupBy("chunk", "lang", "source")
     counted = counted.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
-    counted = materialize(counted, "chunks")
-    rows = counted.join(chunk_terms(counted), "chunk").select("lang", "source", "term", (F.col("n") * F.col("times")).alias("n"), "docs", "first", "last")
-    rows = rows.groupBy("lang", "source", "term", F.when(F.col("docs") < MOST_LEAST, F.col("first")).alias("first"), F.when(F.col("docs") < MOST_LEAST, F.col("last")).alias("last"))
-    rows = materialize(rows.agg(F.sum("n").alias("n")), "terms")
-    named = rows.select("lang", "term", F.explode(F.when(F.col("first").isNull(), F.array([F.lit(-k).cast("long") for k in range(1, MOST_LEAST + 1)])).otherwise(F.array("first", "last"))).alias("doc"))
-    kept = named.distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least).select("lang", "term")
-    groups = counted.filter("chunk = ''").select("lang", "source").distinct()
-    counts = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
-    return groups, counts.select("lang", "source", "term", "n")
+    rows = materialize(term_rows(counted), "terms").repartition("lang", "term")
+    named = F.when(F.col("docs") < MOST_LEAST, F.array("first", "last")).otherwise(F.array([F.lit(-k).cast("long") for k in range(1, MOST_LEAST + 1)]))
+    kept = rows.select("lang", "term", F.explode(named).alias("doc")).groupBy("lang", "term", "doc").agg(F.lit(1).alias("one"))
+    kept = kept.groupBy("lang", "term").agg(F.count("one").alias("docs")).filter(F.col("docs") >= least).select("lang", "term")
+    counts = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
+    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.min("source").alias("lead"))
+    counts = counts.join(whole, ["lang", "term"]).select("lang", "source", "term", "n", "whole", (F.col("source") == F.col("lead")).alias("leads"))
+    groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    return groups, materialize(counts, "kept")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -119,20 +126,19 @@ def audit(docs: DataFrame, least: int = 3, listed: int = LISTED) -> DataFrame:
     largest, then by item. A language without kept terms has pairs of value 0; without documents there are no rows.
     """
     groups, counts = term_counts(docs, least)
-    counts = materialize(counts, "kept")
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    terms = whole.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("total"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     zero = F.lit(0).cast("long")
+    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("own"), F.sum(F.col("leads").cast("long")).alias("led"))
+    totals = materialize(totals, "totals")
+    terms = totals.groupBy("lang").agg(F.sum("led").alias("v"), F.sum("own").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("own", zero).alias("own"), F.coalesce("v", zero).alias("v"), F.coalesce("total", zero).alias("total"))
+    groups = groups.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("own", "v", "total")])
     floor = F.when(F.col("v") > 0, share(zero, F.col("own"), F.greatest("v", F.lit(1)))).otherwise(F.lit(1).cast("long"))
     groups = materialize(groups.withColumn("p0", floor), "groups")
-    shares = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", share(F.col("n"), F.col("own"), F.col("v")).alias("p"), "p0")
-    shares = materialize(shares, "shares")
+    shares = counts.join(groups, ["lang", "source"])
+    p, q = share(F.col("n"), F.col("own"), F.col("v")), share(F.col("whole"), F.col("total"), F.col("v"))
+    shares = materialize(shares.select("lang", "source", "term", p.alias("p"), q.alias("q"), "p0"), "shares")
     both = _pairs(groups, shares).withColumn("part", F.lit("pair"))
-    base = whole.join(terms, "lang").select("lang", "term", share(F.col("n"), F.col("total"), F.col("v")).alias("q"))
-    over = shares.join(base, ["lang", "term"]).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
+    over = shares.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = over.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= listed)
     pairs = both.select("lang", "source", "part", "item", "value").withColumn("rank", F.row_number().over(order))
@@ -153,13 +159,19 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     kinds = materialize(shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("times")), "kinds")
     own = ends.join(kinds, ["lang", "source"]).select("lang", "source", "item", (F.col("times") * (gap(F.col("p"), base[1]) - gap(*base))).alias("value"))
     other = ends.join(kinds.withColumnRenamed("source", "item"), ["lang", "item"]).select("lang", "source", "item", (F.col("times") * (gap(base[0], F.col("p")) - gap(*base))).alias("value"))
-    a = shares.select("lang", "term", "source", F.col("p").alias("p_a"), F.col("p0").alias("p0_a"))
-    b = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("p_b"), F.col("p0").alias("p0_b"))
-    p, q = F.col("p_a"), F.col("p_b")
-    value = gap(p, q) - gap(p, base[1]) - gap(base[0], q) + gap(*base)
-    common = a.join(b, ["lang", "term"]).filter("source <> item").select("lang", "source", "item", value.alias("value"))
-    parts = [x.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")) for x in (own, other, common)]
-    every = start
-    for x in parts:
-        every = every.union(x)
+    found = F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("found")
+    held = shares.select("lang", "term", "source", "p", "p0").groupBy("lang", "term").agg(found).filter(F.size("found") > 1)
+    held = held.select("lang", "found", F.posexplode("found").alias("k", "x"))
+    held = held.select("lang", "x", F.explode(F.slice("found", F.col("k") + 2, F.size("found"))).alias("y"))
+    x, y = F.col("x"), F.col("y")
+
+    def corrected(a: Column, b: Column) -> Column:
+        return gap(a["p"], b["p"]) - gap(a["p"], b["p0"]) - gap(a["p0"], b["p"]) + gap(a["p0"], b["p0"])
+
+    common = held.groupBy("lang", x["source"].alias("one"), y["source"].alias("two")).agg(F.sum(corrected(x, y)).alias("there"), F.sum(corrected(y, x)).alias("back"))
+    there = F.struct(F.col("one").alias("source"), F.col("two").alias("item"), F.col("there").alias("value"))
+    back = F.struct(F.col("two").alias("source"), F.col("one").alias("item"), F.col("back").alias("value"))
+    common = common.select("lang", F.inline(F.array(there, back)))
+    every = start.union(own.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
+    every = every.union(other.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))).union(common)
     return every.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
