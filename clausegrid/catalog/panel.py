@@ -165,27 +165,17 @@ def pivot_panel(spark, sf):
     return P.pivot_panel(long, [*P.PAIR, "year"], "clause_id", ids, ["cumulative", "delta"])
 
 
-def _members(spark, sf):
-    """Agreements in eight groups, so that the dummy matrix has few columns and all rows."""
-    return fx.agreements(spark, sf).withColumn("bloc", (F.col("rta_id") % 8).cast("int"))
-
-
-_DUMMY = ", ".join(f"max(CASE WHEN rta_id % 8 = {i} THEN active ELSE 0 END) AS rta_{i}" for i in range(8))
-
-
-@query("pivot_agreements", with_cte("cell", f"SELECT party_a, party_b, year, {_DUMMY} FROM cell GROUP BY ALL"))
+@query("pivot_agreements", with_cte("cell", """
+    SELECT party_a, party_b, year, list(rta_id ORDER BY rta_id) AS agreements, list(active ORDER BY rta_id) AS active
+    FROM cell GROUP BY party_a, party_b, year"""))
 def pivot_agreements(spark, sf):
-    return P.agreement_dummies(_members(spark, sf), list(range(8)), LO, HI, agreement="bloc")
+    return P.agreement_rows(fx.agreements(spark, sf), LO, HI)
 
 
-@query("active_count", with_cte("cell", f"""
-    SELECT party_a, party_b, year, CAST({' + '.join(f'rta_{i}' for i in range(8))} AS BIGINT) AS active_agreements
-    FROM (SELECT party_a, party_b, year, {_DUMMY} FROM cell GROUP BY ALL)"""))
+@query("active_count", with_cte("cell", """
+    SELECT party_a, party_b, year, CAST(sum(active) AS BIGINT) AS active_agreements FROM cell GROUP BY party_a, party_b, year"""))
 def active_count(spark, sf):
-    cols = [f"rta_{i}" for i in range(8)]
-    wide = P.agreement_dummies(_members(spark, sf), list(range(8)), LO, HI, agreement="bloc")
-    long = wide.unpivot([*P.PAIR, "year"], cols, "agreement", "value")
-    return long.groupBy(*P.PAIR, "year").agg(F.sum("value").alias("active_agreements"))
+    return P.active_count(fx.agreements(spark, sf), LO, HI)
 
 
 @query("jump_detect", with_cte("cell", """

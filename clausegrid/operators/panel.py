@@ -206,6 +206,25 @@ def agreement_pair_years(
     )
 
 
+def agreement_rows(
+    agreements: DataFrame, lo: int, hi: int, agreement: str = "rta_id", start: str = "dif", end: str = "din"
+) -> DataFrame:
+    """The matrix as sparse wide rows for any number of agreements: (pair, year, agreements, active), the sorted ids of
+    the agreements that hold the pair, and 0 or 1 for each. Agreements of one party set and year are put together
+    before they meet the pairs."""
+    held = agreements.select(agreement, canonical_parties("parties").alias("parties"), start, end)
+    each = expand_years(held, lo, hi).groupBy("parties", "year", agreement).agg(F.max(is_active("year", start, end)).alias("active"))
+    per_set = each.groupBy("parties", "year").agg(F.collect_list(F.struct(agreement, "active")).alias("cells"))
+    rows = per_set.join(party_pairs(held), "parties").groupBy(*PAIR, "year").agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("cells"))
+    return rows.select(*PAIR, "year", F.col(f"cells.{agreement}").alias("agreements"), F.col("cells.active").alias("active"))
+
+
+def unpivot_agreements(rows: DataFrame, agreement: str = "rta_id") -> DataFrame:
+    """(pair, year, agreement, active) of the sparse wide rows."""
+    cell = F.explode(F.arrays_zip("agreements", "active")).alias("_c")
+    return rows.select(*PAIR, "year", cell).select(*PAIR, "year", F.col("_c.agreements").alias(agreement), F.col("_c.active").alias("active"))
+
+
 def active_count(
     agreements: DataFrame, lo: int, hi: int, start: str = "dif", end: str = "din"
 ) -> DataFrame:

@@ -281,3 +281,17 @@ def test_csv_lines_keep_breaks_and_backslashes(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "c"), one_line=True)
     back = files.read_csv_typed(spark, str(tmp_path / "c"), "id LONG, text STRING", one_line=True)
     assert {r.id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_sparse_agreement_rows_give_the_same_counts(spark):
+    from clausegrid import fixtures as fx
+    from clausegrid.operators import panel as P
+
+    held = fx.agreements(spark, "/root/testdata/sf0.001")
+    rows = P.agreement_rows(held, 1999, 2001)
+    long = P.unpivot_agreements(rows)
+    key = lambda df, c: sorted(tuple(r) for r in df.select("party_a", "party_b", "year", *c).collect())
+    assert key(long, ["rta_id", "active"]) == key(P.agreement_pair_years(held, 1999, 2001), ["rta_id", "active"])
+    summed = long.groupBy("party_a", "party_b", "year").agg({"active": "sum"}).withColumnRenamed("sum(active)", "active_agreements")
+    assert key(summed, ["active_agreements"]) == key(P.active_count(held, 1999, 2001), ["active_agreements"])
+    assert all(r.agreements == sorted(r.agreements) for r in rows.collect())
