@@ -6,8 +6,8 @@ that has the chunk. The counts of a chunk meet in one row (an entry for each lan
 distinct chunk is cut into terms once, and its terms join all its counts there.
 
 A term is kept if it stands in at least ``least`` documents of the language. Documents of two chunks of a term may
-be the same, so their numbers do not add up; but a chunk of one or two documents names them (first and last),
-and any other chunk has enough documents by itself. So for ``least`` up to 3 the count is exact up to that threshold.
+be the same, so their numbers do not add up; but a chunk of one or two documents names them (first and last), and
+a term is sure if one chunk has enough documents by itself. So for ``least`` up to 3 the count is exact up to that threshold.
 
 Shares are whole numbers of a billionth, smoothed over the kept terms. Sums over all kept terms are made of the terms
 that a source has: terms that both lack add one constant, so no row is made for a term that a source lacks.
@@ -84,8 +84,8 @@ def term_rows(counted: DataFrame) -> DataFrame:
     entry = F.struct("lang", "source", "n", "docs", "first", "last")
     rows = counted.groupBy("chunk").agg(F.collect_list(entry).alias("entries"))
     terms = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
-    rows = rows.select("entries", terms.alias("terms")).filter(F.size("terms") > 0)
-    return rows.select("entries", F.explode("terms").alias("term")).select("term", F.inline("entries"))
+    cut = rows.select("entries", F.explode_outer(terms).alias("term"))  # a plain explode would cut ahead of the shuffle as well
+    return cut.filter(F.col("term").isNotNull()).select("term", F.inline("entries"))
 
 
 def term_counts(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -97,9 +97,11 @@ def term_counts(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     counted = chunk_counts(docs).repartition("chunk").groupBy("chunk", "lang", "source")
     counted = counted.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
     rows = materialize(term_rows(counted), "terms").repartition("lang", "term")
-    named = F.when(F.col("docs") < MOST_LEAST, F.array("first", "last")).otherwise(F.array([F.lit(-k).cast("long") for k in range(1, MOST_LEAST + 1)]))
-    kept = rows.select("lang", "term", F.explode(named).alias("doc")).groupBy("lang", "term", "doc").agg(F.lit(1).alias("one"))
-    kept = kept.groupBy("lang", "term").agg(F.count("one").alias("docs")).filter(F.col("docs") >= least).select("lang", "term")
+    told = rows.groupBy("lang", "term").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"))
+    unsure = told.filter((F.col("most") < least) & (F.col("all") >= least)).select("lang", "term")
+    named = rows.join(unsure, ["lang", "term"]).select("lang", "term", F.explode(F.array("first", "last")).alias("doc")).distinct()
+    found = named.groupBy("lang", "term").agg(F.count("doc").alias("named"))
+    kept = told.join(found, ["lang", "term"], "left").filter((F.col("most") >= least) | (F.col("named") >= least)).select("lang", "term")
     counts = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.min("source").alias("lead"))
     counts = counts.join(whole, ["lang", "term"]).select("lang", "source", "term", "n", "whole", (F.col("source") == F.col("lead")).alias("leads"))

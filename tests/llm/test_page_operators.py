@@ -195,3 +195,33 @@ def test_threads_with_odd_rows(spark):
     assert got["-"] == ([("user", odd), ("assistant", odd)], odd)
     assert got["+2"] == ([("we>ird<\n", "&lt;")], "")
     assert chat.paths(messages.limit(0)).count() == 0
+
+
+def _page(name, around="{}"):
+    good = "".join(f"<p>Good paragraph number {k} has some words in it, and more.</p>" for k in range(6))
+    bad = "".join(f"<p>Badly longer paragraph number {k} has many more words in it than the others have.</p>" for k in range(8))
+    return around.format(good) + f"<div class='{name}'>{bad}</div>", around.format(good + f"<section class='{name}'>{bad}</section>")
+
+
+AROUND = "comment-list comments-section post-comments related-posts site-footer share-buttons ad-container cookie-bar sidebar-left main-nav widget-area comments"
+
+
+@pytest.mark.parametrize("name", AROUND.split())
+def test_names_around_the_article(name):
+    for around in ("<div class='content'>{}</div>", "<article>{}</article>"):
+        for page in _page(name, around):
+            text = html.main_text(f"<html><body>{page}</body></html>")
+            assert text.count("Good") == 6 and "Badly" not in text
+
+
+def test_names_of_the_article():
+    for name in ("content has-sidebar", "comments-open", "header-fixed", "no-sidebar", "search-result"):
+        for page in _page("footer", f"<div class='{name}'>" + "{}</div>")[:1]:
+            assert html.main_text(page).count("Good") == 6
+    wrapped = html.main_text("<div class='sidebar'><p>All there is on the page is in here.</p></div>")
+    assert wrapped == "All there is on the page is in here."
+
+
+def test_inline_adverts_and_headers_inside_an_article():
+    assert html.main_text("<div><p>hello <span class='ad'>x</span> world, here is more.</p></div>") == "hello world, here is more."
+    assert html.main_text("<article><header><h1>Title</h1></header><p>Text of it.</p></article>") == "Title Text of it."
