@@ -166,10 +166,13 @@ def pivot_panel(spark, sf):
 
 
 @query("pivot_agreements", with_cte("cell", """
-    SELECT party_a, party_b, year, list(rta_id ORDER BY rta_id) AS agreements, list(active ORDER BY rta_id) AS active
+    SELECT party_a, party_b, year, string_agg(CAST(rta_id AS VARCHAR), ',' ORDER BY rta_id) AS agreements,
+      string_agg(CAST(active AS VARCHAR), ',' ORDER BY rta_id) AS active
     FROM cell GROUP BY party_a, party_b, year"""))
 def pivot_agreements(spark, sf):
-    return P.agreement_rows(fx.agreements(spark, sf), LO, HI)
+    rows = P.agreement_rows(fx.agreements(spark, sf), LO, HI)
+    told = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("agreements", "active")]
+    return rows.select(*P.PAIR, "year", *told)
 
 
 @query("active_count", with_cte("cell", """

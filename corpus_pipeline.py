@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import bpe, decontam, language, neardup, toxicity
-from clausegrid.session import load, materialize
+from clausegrid.session import load, materialize, passing_tables
 
 #: Texts are copies from this similarity of their word shingles on.
 COPY_PERCENT = 80
@@ -41,8 +41,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays; of repeated rows (doc_id and text) one stays.
     Rows of a repeated doc_id are judged each by its own text."""
-    judged = neardup.near_duplicates(docs.select("doc_id", "text"), percent=COPY_PERCENT, named=True)
-    judged = materialize(judged.select("doc_id", "sid", "kept"), "kept")
+    with passing_tables(spark):
+        judged = neardup.near_duplicates(docs.select("doc_id", "text"), percent=COPY_PERCENT, named=True)
+        judged = materialize(judged.select("doc_id", "sid", "kept"), "kept", lasting=True)
     gone = judged.filter(~F.col("kept")).select("doc_id", "sid").distinct()
     again = judged.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     left = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
