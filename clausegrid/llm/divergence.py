@@ -6,8 +6,9 @@ that has the chunk. The counts of a chunk meet in one row (an entry for each lan
 distinct chunk is cut into terms once, and its terms join all its counts there.
 
 A term is kept if it stands in at least ``least`` documents of the language. Documents of two chunks of a term may
-be the same, so their numbers do not add up; but a chunk of one or two documents names them (first and last), and
-a term is sure if one chunk has enough documents by itself. So for ``least`` up to 3 the count is exact up to that threshold.
+be the same, so their numbers do not add up; but a chunk of one or two documents names them (first and last). A term is
+sure if one chunk has enough documents by itself, or if the named ones fall on enough different bits of a mark; the others have
+their named documents counted. So for ``least`` up to 3 the count is exact up to that threshold.
 
 Shares are whole numbers of a billionth, smoothed over the kept terms. Sums over all kept terms are made of the terms
 that a source has: terms that both lack add one constant, so no row is made for a term that a source lacks.
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 from clausegrid.session import materialize
 
 #: Entries that a task holds before it hands its counts on.
-HELD = 250_000
+HELD = 500_000
 #: Documents that a chunk can name.
 MOST_LEAST = 3
 SCALE = 1_000_000_000
@@ -89,24 +90,35 @@ def term_rows(counted: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(groups, kept), written: lang, source of every group that occurs; lang, source, term, n, whole, leads of the
+    """(groups, kept): lang, source of every group that occurs; lang, source, term, n, whole, leads of the
     terms that stand in at least ``least`` documents of the language, for the sources that have them. ``whole`` is
     n for the language, and one row of each term of a language leads."""
     if not 1 <= least <= MOST_LEAST:
         raise ValueError(f"least is {least}; a chunk names at most {MOST_LEAST - 1} documents, so 1 to {MOST_LEAST} can be told")
     counted = chunk_counts(docs).repartition("chunk").groupBy("chunk", "lang", "source")
     counted = counted.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
-    rows = materialize(term_rows(counted), "terms").repartition("lang", "term")
-    told = rows.groupBy("lang", "term").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"))
-    unsure = told.filter((F.col("most") < least) & (F.col("all") >= least)).select("lang", "term")
+    rows = materialize(term_rows(counted), "terms")
+    marks = F.bit_or(_mark("first").bitwiseOR(_mark("last")))
+    own = rows.repartition("lang", "term").groupBy("lang", "term", "source")
+    own = own.agg(F.sum("n").alias("n"), F.max("docs").alias("most"), F.sum("docs").alias("all"), marks.alias("marks"))
+    term = Window.partitionBy("lang", "term")
+    sure = (F.max("most").over(term) >= least) | (F.bit_count(F.bit_or("marks").over(term)) >= least)
+    counts = own.select(
+        "lang", "source", "term", "n", F.sum("n").over(term).alias("whole"), (F.col("source") == F.min("source").over(term)).alias("leads"),
+        F.sum("all").over(term).alias("all"), sure.alias("sure"),
+    )
+    counts = materialize(counts.filter(F.col("all") >= least).drop("all"), "counts")
+    unsure = materialize(counts.filter(~F.col("sure") & F.col("leads")).select("lang", "term"), "unsure")
     named = rows.join(unsure, ["lang", "term"]).select("lang", "term", F.explode(F.array("first", "last")).alias("doc")).distinct()
-    found = named.groupBy("lang", "term").agg(F.count("doc").alias("named"))
-    kept = told.join(found, ["lang", "term"], "left").filter((F.col("most") >= least) | (F.col("named") >= least)).select("lang", "term")
-    counts = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.min("source").alias("lead"))
-    counts = counts.join(whole, ["lang", "term"]).select("lang", "source", "term", "n", "whole", (F.col("source") == F.col("lead")).alias("leads"))
+    found = materialize(named.groupBy("lang", "term").agg(F.count("doc").alias("named")).filter(F.col("named") >= least).select("lang", "term"), "found")
+    kept = counts.filter("sure").union(counts.filter("not sure").join(found, ["lang", "term"], "left_semi").select(*counts.columns)).drop("sure")
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    return groups, materialize(counts, "kept")
+    return groups, kept
+
+
+def _mark(doc: str) -> Column:
+    """One of 64 bits for a document number: different bits are different documents."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(doc), F.lit(64)).cast("int"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
