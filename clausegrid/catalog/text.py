@@ -221,6 +221,18 @@ query(
     SELECT word, CASE WHEN wins THEN "left" END AS "left", CASE WHEN wins THEN "right" END AS "right" FROM x""",
 )(lambda spark, sf: K.split_joined(glued(spark, sf), "word", vocabulary(spark, sf)))
 
+
+def run_together(spark, sf):
+    """Every two, three and four neighbouring benchmark words written as one."""
+    t = load(spark, sf, "benchmark").select(X.tokens(X.remove_punctuation(X.to_lower("text"))).alias("t"))
+    several = F.expr("flatten(transform(array(2, 3, 4), k -> transform(slice(t, 1, greatest(size(t) - k + 1, 0)), (x, i) -> array_join(slice(t, i + 1, k), ''))))")
+    return t.select(F.explode(several).alias("word"))
+
+
+query("split_run_together")(
+    lambda spark, sf: K.split_words(run_together(spark, sf), "word", vocabulary(spark, sf)).withColumn("parts", F.array_join("parts", " "))
+)
+
 _BI = f"""WITH t AS (SELECT doc_id, {tok('lower(text)')} AS t FROM documents),
     p AS (SELECT doc_id, unnest(t[:-2]) AS token_a, unnest(t[2:]) AS token_b FROM t),
     n1 AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM t) GROUP BY token),

@@ -41,10 +41,7 @@ def split_titles(df: DataFrame, col: str, vocabulary: DataFrame) -> DataFrame:
     """Split run-together words of a title column; titles are few, so they are repaired once each."""
     titles = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_id", F.md5(F.col(col).cast("binary")))
     words = titles.select(F.explode(X.tokens(col)).alias("word"))
-    cuts = K.split_joined(words, "word", vocabulary).select(
-        "word", F.coalesce(F.concat_ws(" ", F.nullif("left", F.lit("")), "right"), F.lit("")).alias("fixed")
-    )
-    cuts = cuts.withColumn("fixed", F.when(F.col("fixed") == "", F.col("word")).otherwise(F.col("fixed")))
+    cuts = K.split_words(words, "word", vocabulary).select("word", F.coalesce(F.array_join("parts", " "), "word").alias("fixed"))
     repaired = K.map_tokens(titles, "_id", col, cuts, "word", "fixed", out="_fixed").join(titles, "_id").select(col, "_fixed")
     return df.join(repaired, col, "left").withColumn(col, F.coalesce("_fixed", col)).drop("_fixed")
 

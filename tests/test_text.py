@@ -84,6 +84,52 @@ def test_joined_words(spark):
     assert got == {"investmentprotection": ("investment", "protection"), "rules": (None, None), "zzz": (None, None)}
 
 
+def test_words_of_any_number_of_parts(spark):
+    rows = [("trade", 30), ("in", 90), ("investment", 50), ("goods", 20), ("and", 99), ("services", 25), ("tradein", 1), ("a", 5), ("", 7)]
+    vocab = spark.createDataFrame(rows, "token string, n long")
+    glued = ["tradeingoodsandservices", "tradeingoods", "investment", "goodsx", "a", "", None, "tradein", "tradein"]
+    words = spark.createDataFrame([(w,) for w in glued], "w string")
+    got = {r.word: r.parts for r in K.split_words(words, "w", vocab).collect()}
+    assert got == {
+        "tradeingoodsandservices": ["trade", "in", "goods", "and", "services"], "tradeingoods": ["trade", "in", "goods"],
+        "investment": None, "goodsx": None, "a": None, "": None, "tradein": ["trade", "in"],
+    }
+    assert {r.parts for r in K.split_words(words, "w", vocab.limit(0)).collect()} == {None}
+
+
+def test_parts_are_the_cheapest_of_all_ways(spark):
+    """All ways to spell the words of up to nine letters over a small alphabet, ties too, and one very long word."""
+    import itertools
+    import math
+
+    count = {"a": 4, "b": 4, "ab": 4, "ba": 1, "aab": 3, "abab": 2, "bb": 1}
+    total = sum(count.values())
+    cost = {t: round(math.log(total / n) * 1e6) for t, n in count.items()}
+
+    def ways(word):
+        if not word:
+            yield []
+        for t in count:
+            if word.endswith(t):
+                for head in ways(word[: len(word) - len(t)]):
+                    yield head + [t]
+
+    def rank(parts):
+        starts = list(itertools.accumulate([0] + [len(t) for t in parts[:-1]]))
+        return sum(cost[t] for t in parts), len(parts), starts[::-1]
+
+    words = ["".join(w) for n in range(1, 10) for w in itertools.product("abc" if n < 5 else "ab", repeat=n)]
+    want = {}
+    for w in words:
+        best = min(ways(w), key=rank, default=[])
+        want[w] = best if len(best) > 1 else None
+    vocab = spark.createDataFrame(list(count.items()), "token string, n long")
+    got = {r.word: r.parts for r in K.split_words(spark.createDataFrame([(w,) for w in words], "w string"), "w", vocab).collect()}
+    assert got == want
+    long = K.split_words(spark.createDataFrame([("aab" * 1000,)], "w string"), "w", vocab).first()["parts"]
+    assert long == ["aab"] * 1000
+
+
 TREATY = (
     "CHAPTER 3\nTrade Remedies\n\nArticle 1 \nScope and Purpose\n1. First clause.\n2. Second clause. 3. Third"
     "\n Rule 4.2\nNotices\nOnly text.\nArticle 5: \nLast\n1. End."
