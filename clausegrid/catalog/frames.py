@@ -370,9 +370,9 @@ def train_test_split(spark, sf):
     return M.train_test_split(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id", 0.25, seed=1)
 
 
-@query("repeated_splits", " UNION ALL ".join(f"SELECT doc_id, quality, {s} AS seed, {_split_sql(s, 0.2)} AS is_test FROM labels" for s in range(5)))
+@query("repeated_splits", "SELECT doc_id, quality, CAST(seed AS INTEGER) AS seed, ('0x' || substr(md5(seed || ':' || doc_id), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 < 0.2 AS is_test FROM labels, unnest(range(100)) AS r(seed)")
 def repeated_splits(spark, sf):
-    return M.repeated_splits(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id", 0.2, list(range(5)))
+    return M.repeated_splits(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id", 0.2, list(range(100)))
 
 
 # --- set operations

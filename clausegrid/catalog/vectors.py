@@ -10,6 +10,7 @@ from clausegrid.functions.text import ascii_fold, tokens
 from clausegrid.learn import classify as Y
 from clausegrid.learn import cluster as U
 from clausegrid.learn.embed import embed
+from clausegrid.learn.splits import scored_splits as score_splits
 from clausegrid.operators import edits as E
 from clausegrid.operators import pairs as Q
 from clausegrid.operators import vectors as V
@@ -194,6 +195,14 @@ def classify_text_infer(spark, sf):
     return Y.classify_text(model, docs(spark, sf).select("doc_id", "text"), "text", "isSubstantive_predict", names)
 
 
+@query("scored_splits")
+def scored_splits(spark, sf):
+    """Accuracy on the held-out fifth of each of 100 random splits, and its mean."""
+    known = load(spark, sf, "labels").select("doc_id", "quality").where(F.col("quality").isNotNull())
+    texts = docs(spark, sf).select("doc_id", "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    return score_splits(embed(texts, "doc_id", "text", dims=64).join(known, "doc_id"), "doc_id", "embedding", "quality", 64)
+
+
 @query("lda_topics")
 def lda_topics(spark, sf):
     return U.lda_topics(docs(spark, sf), "doc_id", "text", k=10, rounds=5)[0]

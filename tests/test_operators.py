@@ -164,6 +164,43 @@ def test_lag_respects_gaps(spark):
     assert got == {1: None, 2: 1.0, 4: None}
 
 
+def test_splits_fitted_together_equal_single_fits(spark):
+    import numpy as np
+
+    from clausegrid.learn.splits import fit_splits, scored_splits, split_table
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [1.5, -1.0, 0.0] + rng.normal(size=300) > 0.3).astype(int)
+    rows = [(i, x[i].tolist(), int(y[i])) for i in range(300)] + [(900, None, 1), (901, [0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "doc int, v array<double>, y int").repartition(5)
+    seeds = 12
+    beta = fit_splits(split_table(df, "doc", "v", "y", 3, 0.2, list(range(seeds))), 3, seeds)
+    got = {r.seed: r for r in scored_splits(df, "doc", "v", "y", 3, seeds=seeds).collect()}
+    z, shares = np.hstack([x, np.ones((300, 1))]), []
+    for s in range(seeds):
+        held = {r.doc for r in M.train_test_split(df.where("doc < 900"), "doc", 0.2, s).where("is_test").collect()}
+        train = np.array([i not in held for i in range(300)])
+        b = np.zeros(4)
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-z[train] @ b))
+            b -= np.linalg.solve((z[train].T * (mu * (1 - mu))) @ z[train] + np.eye(4), z[train].T @ (mu - y[train]) + b)
+        assert np.allclose(beta[s], b, atol=1e-6)
+        hits = int(((z[~train] @ b > 0) == (y[~train] == 1)).sum())
+        assert (got[s].n_train, got[s].n_test, got[s].hits) == (300 - len(held), len(held), hits)
+        shares.append(hits / len(held))
+    assert abs(got[0].mean_accuracy - np.mean(shares)) < 1e-12
+
+
+def test_splits_of_empty_and_one_class_tables(spark):
+    from clausegrid.learn.splits import scored_splits
+
+    empty = spark.createDataFrame([], "doc int, v array<double>, y int")
+    assert {(r.n_train, r.n_test, r.accuracy, r.mean_accuracy) for r in scored_splits(empty, "doc", "v", "y", 2, seeds=3).collect()} == {(0, 0, None, None)}
+    ones = spark.createDataFrame([(i, [1.0, float(i)], 1) for i in range(40)], "doc int, v array<double>, y int")
+    assert all(r.accuracy == 1.0 for r in scored_splits(ones, "doc", "v", "y", 2, seeds=3).collect())
+
+
 def test_split_is_stable_and_complete(spark):
     df = spark.range(4000).withColumnRenamed("id", "doc")
     a = {r.doc: r.is_test for r in M.train_test_split(df, "doc", 0.25, 3).collect()}
