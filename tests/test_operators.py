@@ -332,3 +332,17 @@ def test_sparse_agreement_rows_give_the_same_counts(spark):
     summed = long.groupBy("party_a", "party_b", "year").agg({"active": "sum"}).withColumnRenamed("sum(active)", "active_agreements")
     assert key(summed, ["active_agreements"]) == key(P.active_count(held, 1999, 2001), ["active_agreements"])
     assert all(r.agreements == sorted(r.agreements) for r in rows.collect())
+
+
+def test_active_count_query_goes_through_the_whole_matrix(spark):
+    from clausegrid.catalog import QUERIES
+    from clausegrid.operators import panel as P
+
+    rows = spark.createDataFrame(
+        [("a", "b", 2000, [1, 9, 17], [1, 1, 0]), ("a", "b", 2001, [1, 9, 17], [0, 0, 0])],
+        "party_a string, party_b string, year int, agreements array<int>, active array<int>",
+    )
+    counted = P.count_active(P.unpivot_agreements(rows))
+    assert sorted((r.year, r.active_agreements) for r in counted.collect()) == [(2000, 2), (2001, 0)]
+    plan = QUERIES["active_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" in plan and "collect_list" in plan
