@@ -346,3 +346,23 @@ def test_active_count_query_goes_through_the_whole_matrix(spark):
     assert sorted((r.year, r.active_agreements) for r in counted.collect()) == [(2000, 2), (2001, 0)]
     plan = QUERIES["active_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_zip" in plan and "collect_list" in plan
+
+
+def _copies_a_row(spark, n):
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(np.random.default_rng(5).normal(size=(n, 3)))]
+    p = V.points(spark.createDataFrame(rows, "id long, vec array<double>"), "id", "vec", None, "euclidean")
+    base, cells = V.build_cells(p, 16)
+    everywhere = V._probe(p.select("id", "v", "g"), cells, lambda dist, radius, size, _: np.ones(len(dist), dtype=bool))
+    return everywhere.count() / n
+
+
+def test_copies_of_vectors_grow_with_the_rows_only(spark):
+    assert _copies_a_row(spark, 4000) <= 3 * V.BLOCKS >= _copies_a_row(spark, 400)
+
+
+def test_near_decides_by_differences_where_single_precision_does_not(spark):
+    rng = np.random.default_rng(6)
+    b = rng.normal(size=(300, 8)) + 100
+    a = np.concatenate([b[:50] + np.eye(8)[0] * 0.5, b[50:100] + np.eye(8)[0] * (0.5 + 1e-9), rng.normal(size=(40, 8)) + 100])
+    got = np.concatenate([close for _, close in V.Near(b).within(a, 0.5 + 1e-12)])
+    assert (got == (np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) <= 0.5 + 1e-12)).all()
