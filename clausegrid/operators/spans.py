@@ -45,6 +45,22 @@ def relabel(spans: str | Column, keep: Sequence[str], label: str) -> Column:
     return F.transform(kept, lambda s: F.struct(s["start"], s["end"], F.lit(label).alias("label")))
 
 
+#: Characters at the end of a text that are looked at first.
+_END = 256
+
+
+def _ending(c: Column, pattern: str) -> Column:
+    """Length of what a pattern like ``x*$`` matches at the end of a text. Only texts whose last characters match
+    throughout are read from the front, so the cost does not grow with the text in front."""
+    def length(t: Column) -> Column:
+        return F.length(F.regexp_extract(t, pattern, 0))
+
+    def seen(t: Column) -> Column:
+        return let(length(t), lambda n: F.when(n < F.length(t), n).otherwise(length(c)))
+
+    return let(F.right(c, F.lit(_END)), seen)
+
+
 def trim_spans(spans: str | Column, text: str | Column) -> Column:
     """Move span ends inwards past blanks."""
     text = F.col(text) if isinstance(text, str) else text
@@ -52,7 +68,7 @@ def trim_spans(spans: str | Column, text: str | Column) -> Column:
     def trimmed(s: Column) -> Column:
         piece = F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
         lead = F.length(F.regexp_extract(piece, f"^{_B}*", 0))
-        tail = F.length(F.regexp_extract(piece, f"{_B}*$", 0))
+        tail = _ending(piece, f"{_B}*$")
         start = F.least(s["start"] + lead, s["end"])
         return F.struct(start.alias("start"), F.greatest(s["end"] - tail, start).alias("end"), s["label"].alias("label"))
 
@@ -69,8 +85,8 @@ def contract_spans(spans: str | Column, text: str | Column) -> Column:
         skip = F.when(cut_word, F.regexp_extract(at, f"^{_NB}*{_B}*", 0)).otherwise(F.regexp_extract(at, f"^{_B}*", 0))
         head = F.left(text, s["end"].cast("int"))
         open_word = F.substr(text, s["end"].cast("int") + 1, F.lit(1)).rlike(f"^{_NB}")
-        kept = F.when(open_word, F.regexp_replace(head, f"{_NB}*$", "")).otherwise(head)
-        end = F.length(F.regexp_replace(kept, f"{_B}*$", "")).cast("bigint")
+        kept = F.when(open_word, F.left(head, F.length(head) - _ending(head, f"{_NB}*$"))).otherwise(head)
+        end = let(kept, lambda k: F.length(k) - _ending(k, f"{_B}*$")).cast("bigint")
         return F.struct((s["start"] + F.length(skip)).alias("start"), end.alias("end"), s["label"].alias("label"))
 
     return F.filter(F.transform(spans, inside), lambda s: s["start"] < s["end"])

@@ -366,3 +366,34 @@ def test_near_decides_by_differences_where_single_precision_does_not(spark):
     a = np.concatenate([b[:50] + np.eye(8)[0] * 0.5, b[50:100] + np.eye(8)[0] * (0.5 + 1e-9), rng.normal(size=(40, 8)) + 100])
     got = np.concatenate([close for _, close in V.Near(b).within(a, 0.5 + 1e-12)])
     assert (got == (np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) <= 0.5 + 1e-12)).all()
+
+
+def test_span_ends_are_read_from_the_end(spark):
+    from clausegrid.operators import spans as N
+
+    texts = [(0, "shall pay" + " " * 400, 400), (1, "the " + "x" * 400 + "yz", 300), (2, "a b", 3), (3, "", 0), (4, "word " * 200 + "end", 1001)]
+    rows = spark.createDataFrame(texts, "id long, text string, stop long")
+    rows = rows.selectExpr("id", "text", "array(named_struct('start', 0L, 'end', stop, 'label', 'RIGHT')) AS spans")
+    got = {r.id: (r.start, r.end) for r in N.prepare_spans(rows, "id", "text", "spans", ["RIGHT"], "RIGHT").collect()}
+    assert got == {0: (0, 9), 1: (0, 3), 2: (0, 3), 4: (0, 999)}
+    assert N._END == 256
+
+
+def test_tokens_counted_a_row_at_a_time(spark):
+    from clausegrid.functions.text import tokens
+    from clausegrid.operators.tokens import counted_tokens
+
+    rows = spark.createDataFrame([(1, "a b a\x1cc"), (1, " a "), (None, "d d"), (2, ""), (3, None)], "id int, text string")
+    want = rows.select("id", F.explode(tokens("text")).alias("token")).groupBy("id", "token").count()
+    got = counted_tokens(rows, "id", "text").groupBy("id", "token").agg(F.sum("n").alias("count"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_pairs_meet_the_phrases_before_they_are_shuffled(spark):
+    from clausegrid.operators.tokens import append_bigrams
+
+    rows = spark.createDataFrame([(1, "a b a b c"), (2, "b c")], "id int, text string")
+    got = append_bigrams(rows, "id", "text", spark.createDataFrame([("a", "b")], "token_a string, token_b string"))
+    assert [tuple(r) for r in got.collect()] == [(1, "a_b", 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.index("HashAggregate") < plan.index("BroadcastHashJoin")
