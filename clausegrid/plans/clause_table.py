@@ -30,6 +30,7 @@ def national_clauses(docs: DataFrame, agreement: str, title: str, text: str, voc
     rows = rows.withColumn("text", F.trim(G.strip_leading_title("article", "text")))
     rows = rows.withColumn("chapter", X.strip_number_words(G.before_section("chapter")))
     if vocabulary is not None:
+        vocabulary = materialize(vocabulary, "vocabulary")  # each split reads it twice
         rows = split_titles(split_titles(rows, "chapter", vocabulary), "article", vocabulary)
     place = F.struct(agreement, title, "art_identifier", "clauseno")
     first = rows.groupBy("text").agg(F.min(place).alias("_at")).select("_at.*")
@@ -40,6 +41,7 @@ def national_clauses(docs: DataFrame, agreement: str, title: str, text: str, voc
 def split_titles(df: DataFrame, col: str, vocabulary: DataFrame) -> DataFrame:
     """Split run-together words of a title column; titles are few, so they are repaired once each."""
     titles = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_id", F.md5(F.col(col).cast("binary")))
+    titles = materialize(titles, "titles")
     words = titles.select(F.explode(X.tokens(col)).alias("word"))
     cuts = K.split_words(words, "word", vocabulary).select("word", F.coalesce(F.array_join("parts", " "), "word").alias("fixed"))
     repaired = K.map_tokens(titles, "_id", col, cuts, "word", "fixed", out="_fixed").join(titles, "_id").select(col, "_fixed")
