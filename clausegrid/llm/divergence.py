@@ -2,8 +2,9 @@
 
 Texts are cut at white space and the chunks of each document counted. A task adds its documents up per language,
 source and chunk before anything is shuffled: occurrences, distinct documents, and the first and last document
-that has the chunk. The counts of a chunk meet in one row (an entry for each language and source), so that each globally
-distinct chunk is cut into terms once, and its terms join all its counts there.
+that has the chunk. Counts travel by buckets of chunks, columns compressed together, as a row for each count takes more than
+twice the room. The counts of a chunk meet in its bucket, so that each globally distinct chunk is cut into terms once,
+and its terms join all its counts there. There are more buckets than shuffle partitions, so a bucket is a share of a task.
 
 A term is kept if it stands in at least ``least`` documents of the language. Documents of two chunks of a term may
 be the same, so their numbers do not add up; but a chunk of one or two documents names them (first and last). A term is
@@ -17,8 +18,11 @@ that a source has: terms that both lack add one constant, so no row is made for
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,25 +38,42 @@ SCALE = 1_000_000_000
 #: Terms of a source that the report lists.
 LISTED = 200
 
-# Fixed value: a term is a run of ASCII letters and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Buckets of chunks for each shuffle partition.
+BUCKETS = 4
+PART = pa.schema([*[(c, pa.binary()) for c in ("lang", "source", "chunk")], *[(c, pa.int64()) for c in ("n", "docs", "first", "span")]])
 
+# Fixed value: a term is a run of ASCII letters and characters beyond ASCII; the other bytes become blanks.
+BLANKED = bytes(32 if c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, chunk, n (occurrences), docs, first, last (document numbers), as often as a task hands on.
 
-    Nulls are empty; A-Z are lower-cased. A row is a document, also if it repeats another.
+def chunk_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, part, as often as a task hands on: ``part`` has the counts of all chunks whose hash falls on the bucket.
+
+    A part is a compressed Arrow batch of lang, source, chunk, n (occurrences), docs, first (document number) and span (from the
+    first to the last). Nulls are empty; A-Z are lower-cased. A row is a document, also if it repeats another.
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def handed(groups):
+        batches, packed = [], pa.ipc.IpcWriteOptions(compression="zstd")
         for (lang, source), (n, held, first, last) in groups.items():
             size = len(n)
-            columns = [
-                pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()),
-                *[pa.array(list(map(counts.__getitem__, n)), pa.int64()) for counts in (n, held, first, last)],
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "chunk", "n", "docs", "first", "last"])
+            counts = [np.fromiter(x, np.int64, size) for x in (n.values(), *(map(own.__getitem__, n) for own in (held, first, last)))]
+            counts[3] -= counts[2]
+            names = [pa.array([x]).cast(pa.binary()).take(pa.array(np.zeros(size, np.int64))) for x in (lang, source)]
+            batches.append(pa.RecordBatch.from_arrays([*names, pa.array(list(n), pa.binary()), *map(pa.array, counts)], schema=PART))
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        of = np.concatenate([np.fromiter(map(crc32, n), np.int64, len(n)) for n, *_ in groups.values()]) % buckets
+        order = np.argsort(of, kind="stable")
+        table, ends = table.take(pa.array(order)).combine_chunks(), np.cumsum(np.bincount(of, minlength=buckets))
+        for batch in table.to_batches():
+            for k in np.flatnonzero(np.diff(ends, prepend=0)):
+                begin = ends[k - 1] if k else 0
+                with pa.ipc.new_stream(sink := pa.BufferOutputStream(), PART, options=packed) as stream:
+                    stream.write_batch(batch.slice(begin, ends[k] - begin))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "part"])
 
     def run(batches):
         number, groups, held = TaskContext.get().partitionId() << 40, {}, 0
@@ -73,20 +94,36 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
                     groups, held = {}, 0
         yield from handed(groups)
 
-    return rows.mapInArrow(run, "lang string, source string, chunk string, n long, docs long, first long, last long")
+    return rows.mapInArrow(run, "bucket int, part binary")
 
 
 def term_rows(counted: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs, first, last from counts per chunk, lang and source.
+    """lang, source, term, n, docs, first, last from the parts of each bucket.
 
-    The counts of a chunk, one entry for each lang and source, meet in one row, where the chunk is cut once. A chunk
+    The counts of a chunk, one for each lang and source, meet in its bucket, where the chunk is cut once. A chunk
     that holds a term several times counts it as often.
     """
-    entry = F.struct("lang", "source", "n", "docs", "first", "last")
-    rows = counted.groupBy("chunk").agg(F.collect_list(entry).alias("entries"))
-    terms = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
-    cut = rows.select("entries", F.explode_outer(terms).alias("term"))  # a plain explode would cut ahead of the shuffle as well
-    return cut.filter(F.col("term").isNotNull()).select("term", F.inline("entries"))
+
+    def run(parts: pa.Table) -> pa.Table:
+        read = [pa.ipc.open_stream(part).read_next_batch() for part in parts["part"].to_pylist()]
+        rows = pa.Table.from_batches(read)
+        last = pc.add(rows["first"], rows["span"])
+        rows = rows.drop_columns(["span"]).append_column("last", last).group_by(["chunk", "lang", "source"], use_threads=False)
+        rows = rows.aggregate([("n", "sum"), ("docs", "sum"), ("first", "min"), ("last", "max")]).combine_chunks()
+        rows = rows.rename_columns([c.partition("_")[0] for c in rows.column_names])
+        chunks = pc.dictionary_encode(rows["chunk"]).combine_chunks()
+        terms = [c.translate(BLANKED).split() for c in chunks.dictionary.to_pylist()]
+        ends = np.cumsum([0, *map(len, terms)])
+        at = chunks.indices.to_numpy()
+        times = np.diff(ends)[at]
+        row = np.repeat(np.arange(len(at)), times)
+        term = np.arange(len(row)) + np.repeat(ends[at] - (np.cumsum(times) - times), times)
+        rows = rows.take(pa.array(row))
+        term = pa.array([t for own in terms for t in own], pa.binary()).take(pa.array(term))
+        texts = [x.cast(pa.string()) for x in (rows["lang"], rows["source"], term)]
+        return pa.table([*texts, *(rows[c] for c in ("n", "docs", "first", "last"))], ["lang", "source", "term", "n", "docs", "first", "last"])
+
+    return counted.groupBy("bucket").applyInArrow(run, "lang string, source string, term string, n long, docs long, first long, last long")
 
 
 def term_counts(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -95,9 +132,8 @@ def term_counts(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     n for the language, and one row of each term of a language leads."""
     if not 1 <= least <= MOST_LEAST:
         raise ValueError(f"least is {least}; a chunk names at most {MOST_LEAST - 1} documents, so 1 to {MOST_LEAST} can be told")
-    counted = chunk_counts(docs).repartition("chunk").groupBy("chunk", "lang", "source")
-    counted = counted.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
-    rows = materialize(term_rows(counted), "terms")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(term_rows(chunk_counts(docs, buckets)), "terms")
     marks = F.bit_or(_mark("first").bitwiseOR(_mark("last")))
     own = rows.repartition("lang", "term").groupBy("lang", "term", "source")
     own = own.agg(F.sum("n").alias("n"), F.max("docs").alias("most"), F.sum("docs").alias("all"), marks.alias("marks"))

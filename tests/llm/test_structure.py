@@ -230,3 +230,18 @@ def test_divergence_counts(spark, monkeypatch):
     assert divergence.audit(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="least"):
         divergence.audit(df, 4)
+
+
+def test_chunk_counts_travel_packed_by_bucket(spark):
+    """A row for each bucket and hand-on, not for each count; a count takes a fraction of its row's size."""
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(9)) + draw.choice(["", ".", "-x-x"]) for _ in range(6000)]
+    rows = [(k % 2 and "en" or None, f"s{k % 5}", " ".join(draw.choice(words) for _ in range(300))) for k in range(200)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(2)
+    counted = divergence.chunk_counts(df, 8).localCheckpoint()
+    assert counted.count() <= 2 * 8
+    chunks = {(lang, source, w) for lang, source, text in rows for w in text.split()}
+    assert counted.selectExpr("sum(length(part))").first()[0] < 40 * len(chunks)
+    want = Counter((lang or "", source, t) for lang, source, text in rows for t in re.findall("[a-z]+", text))
+    got = divergence.term_rows(counted).groupBy("lang", "source", "term").sum("n").collect()
+    assert {(r.lang, r.source, r.term): r["sum(n)"] for r in got} == want
