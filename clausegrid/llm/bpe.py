@@ -218,6 +218,38 @@ def with_route(df: DataFrame, text: str = "text", route: str = "route") -> DataF
     return df.mapInArrow(run, df.withColumn(route, F.lit(0).cast("long")).schema)
 
 
+def _prepared(df: DataFrame, text: str, keep: list[str], gather: bool) -> tuple[DataFrame, str]:
+    """Rows for ``_encoded``, and the schema of the ``keep`` columns."""
+    rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    if gather:
+        rows = with_route(rows, "_text", "_route").hint("rebalance", F.col("_route"))
+    return rows, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+
+
+def _encoded(batches, vocabulary: str, keep: list[str]):
+    """Batches of the ``keep`` columns, n_tokens and ids from batches with _text."""
+    encoder = ChunkEncoder(per_process(f"bpe:{vocabulary}", lambda: Codec(vocabulary)))
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(first, BATCH_ROWS)
+            raw, offsets = text_buffers(part.column(part.schema.get_field_index("_text")))
+            ids = [encoder(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            columns = [part.column(part.schema.get_field_index(c)) for c in keep]
+            columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids"])
+
+
+def _decoded(batches, vocabulary: str, ids: str, out: str):
+    """The batches with the text of their packed ids."""
+    codec = per_process(f"bpe:{vocabulary}", lambda: Codec(vocabulary))
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(first, BATCH_ROWS)
+            packed = part.column(part.schema.get_field_index(ids)).to_pylist()
+            texts = [codec.decode(np.frombuffer(x or b"", "<u4")).decode() for x in packed]
+            yield part.append_column(out, pa.array(texts, pa.string()))
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, gather: bool = True) -> DataFrame:
     """``keep`` columns (default: all but the text), then n_tokens, ids (packed little-endian unsigned 32-bit).
 
@@ -226,43 +258,26 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] |
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     keep = [c for c in keep if c.lower() not in ("n_tokens", "ids")]
-    rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    if gather:
-        rows = with_route(rows, "_text", "_route").hint("rebalance", F.col("_route"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-
-    def run(batches):
-        codec = per_process(f"bpe:{vocabulary}", lambda: Codec(vocabulary))
-        encoder = ChunkEncoder(codec)
-        for batch in batches:
-            for first in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(first, BATCH_ROWS)
-                raw, offsets = text_buffers(part.column(part.schema.get_field_index("_text")))
-                ids = [encoder(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                columns = [part.column(part.schema.get_field_index(c)) for c in keep]
-                columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids"])
-
-    return rows.mapInArrow(run, f"{schema}{', ' if keep else ''}n_tokens long, ids binary")
+    rows, schema = _prepared(df, text, keep, gather)
+    return rows.mapInArrow(lambda batches: _encoded(batches, vocabulary, keep), f"{schema}n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of packed ids; null ids give an empty text."""
-
-    def run(batches):
-        codec = per_process(f"bpe:{vocabulary}", lambda: Codec(vocabulary))
-        for batch in batches:
-            for first in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(first, BATCH_ROWS)
-                packed = part.column(part.schema.get_field_index(ids)).to_pylist()
-                texts = [codec.decode(np.frombuffer(x or b"", "<u4")).decode() for x in packed]
-                yield part.append_column(out, pa.array(texts, pa.string()))
-
     df = df.drop(out)
-    return df.mapInArrow(run, df.withColumn(out, F.lit("")).schema)
+    return df.mapInArrow(lambda batches: _decoded(batches, vocabulary, ids, out), df.withColumn(out, F.lit("")).schema)
 
 
 def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The round trip of each row: key, n_tokens, ids_sha256, decoded_sha256, ids."""
-    back = decode(encode(df, vocabulary, text, keep=[key]), vocabulary)
+    """The round trip of each row: key, n_tokens, ids_sha256, decoded_sha256, ids.
+
+    The steps of ``encode`` and ``decode`` follow each other in one Python worker, which holds the vocabulary once; a
+    step of its own each takes two workers for each core.
+    """
+    rows, schema = _prepared(df, text, [key], gather=True)
+
+    def run(batches):
+        return _decoded(_encoded(batches, vocabulary, [key]), vocabulary, "ids", "decoded")
+
+    back = rows.mapInArrow(run, f"{schema}n_tokens long, ids binary, decoded string")
     return back.select(key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")

@@ -286,3 +286,13 @@ def test_edited_fingerprints_repeated_and_null_keys(spark):
     assert {r.edited_sha256 for r in ones} == {hashlib.sha256((a[: len(a) - cut] + b[:cut]).encode()).hexdigest()}
     single = spark.createDataFrame([(1, a)], "doc_id long, text string")
     assert fingerprint.edited_fingerprints(single).first().near_next == 1.0
+
+
+def test_round_trip_takes_one_worker_a_task(spark):
+    """Encoding and decoding share a Python worker: one step for the routes and one for the round trip."""
+    back = bpe.encode_decode(docs_frame(spark, ODD), bpe.vocabulary_path())
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+    apart = bpe.decode(bpe.encode(docs_frame(spark, ODD), bpe.vocabulary_path()), bpe.vocabulary_path())
+    apart = apart.select("doc_id", "n_tokens", F.sha2("ids", 256), F.sha2(F.col("decoded").cast("binary"), 256), "ids")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, apart.collect()))
