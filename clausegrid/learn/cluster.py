@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
+from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, LDAModel
 from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausegrid.econ.glm import _digamma
 from clausegrid.functions.text import tokens
 from clausegrid.operators.labels import shortest_name
 from clausegrid.operators.scan import global_index
@@ -70,23 +71,69 @@ def word_vectors(df: DataFrame, key: str, col: str, vocabulary: int) -> DataFram
     return materialize(vectorizer.transform(rows).select(key, "features"), "features")
 
 
-def _lda(data: DataFrame, key: str, k: int, seed: int, rounds: int):
-    model = LDA(k=k, seed=seed, maxIter=rounds).fit(data)
-    dist = vector_to_array("topicDistribution")
-    best = F.array_max(dist)
-    out = model.transform(data).select(key, (F.array_position(dist, best) - 1).cast("int").alias("topic"), best.alias("weight"))
-    return out, model.logPerplexity(data)
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function: Stirling's series from 8 on, smaller values by the recurrence."""
+    x = np.asarray(x, float)
+    step = np.zeros_like(x)
+    for _ in range(8):
+        small = x < 8
+        step, x = step - np.where(small, np.log(np.where(small, x, 1.0)), 0.0), x + small
+    z = 1 / (x * x)
+    return step + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x
+
+
+def log_perplexity(model: LDAModel, scored: DataFrame, eta: float) -> float:
+    """Log perplexity of rows with features and topicDistribution, by the bound of ``model.logPerplexity``.
+
+    That method infers each text's topics from another start, so it differs in the fifth digit or beyond. A text's topic weights add up to its words and the prior, so its distribution gives them back. The words' expectations are
+    made once, where the model's own method makes those of the whole vocabulary for every text. ``eta`` is the prior of the words.
+    """
+    topics, alpha = model.topicsMatrix().toArray(), model.estimatedDocConcentration().toArray()
+    words, prior = _digamma(topics) - _digamma(topics.sum(0)), alpha.sum()
+    sent = scored.sparkSession.sparkContext.broadcast(words)
+
+    def part(batches):
+        words, bound, tokens = sent.value, 0.0, 0.0
+        for batch in batches:
+            for dist, at, counts in zip(batch["dist"], batch["indices"], batch["values"]):
+                tokens += counts.sum()
+                if not counts.any():
+                    continue
+                weight = dist * (prior + counts.sum())
+                topic = _digamma(weight) - _digamma(weight.sum())
+                each = topic + words[at]
+                top = each.max(1)
+                bound += counts @ (top + np.log(np.exp(each - top[:, None]).sum(1))) + ((alpha - weight) * topic).sum()
+                bound += (_log_gamma(weight) - _log_gamma(alpha)).sum() + _log_gamma(prior) - _log_gamma(weight.sum())
+        yield pd.DataFrame({"bound": [float(bound)], "tokens": [float(tokens)]})
+
+    rows = scored.select(vector_to_array("topicDistribution").alias("dist"), F.unwrap_udt("features").alias("f"))
+    rows = rows.select("dist", "f.indices", "f.values").mapInPandas(part, "bound double, tokens double")
+    total = rows.agg(F.sum("bound"), F.sum("tokens")).first()
+    bound = total[0] + ((eta - topics) * words).sum() + (_log_gamma(topics) - _log_gamma(eta)).sum()
+    bound += (_log_gamma(eta * len(topics)) - _log_gamma(topics.sum(0))).sum()
+    return float(-bound / total[1])
+
+
+def _lda(data: DataFrame, k: int, seed: int, rounds: int) -> LDAModel:
+    return LDA(k=k, seed=seed, maxIter=rounds, topicConcentration=1.0 / k).fit(data)
 
 
 def lda_topics(df: DataFrame, key: str, col: str, k: int = 10, seed: int = 7, vocabulary: int = 20000, rounds: int = 10):
     """((key, topic, weight), log perplexity): the strongest of k topics per text."""
-    return _lda(word_vectors(df, key, col, vocabulary), key, k, seed, rounds)
+    data = word_vectors(df, key, col, vocabulary)
+    model = _lda(data, k, seed, rounds)
+    scored = model.transform(data)
+    dist = vector_to_array("topicDistribution")
+    best = F.array_max(dist)
+    out = scored.select(key, (F.array_position(dist, best) - 1).cast("int").alias("topic"), best.alias("weight"))
+    return out, log_perplexity(model, scored, 1.0 / k)
 
 
 def choose_topics(df: DataFrame, key: str, col: str, ks: list[int], seed: int = 7, vocabulary: int = 20000, rounds: int = 10) -> DataFrame:
     """(k, log_perplexity) for each k; the smallest value is the choice. The words are counted once for all k."""
     data = word_vectors(df, key, col, vocabulary)
-    rows = [(k, float(_lda(data, key, k, seed, rounds)[1])) for k in ks]
+    rows = [(k, float(_lda(data, k, seed, rounds).logPerplexity(data))) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k int, log_perplexity double")
 
 

@@ -397,3 +397,22 @@ def test_pairs_meet_the_phrases_before_they_are_shuffled(spark):
     assert [tuple(r) for r in got.collect()] == [(1, "a_b", 2)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and plan.index("HashAggregate") < plan.index("BroadcastHashJoin")
+
+
+def test_perplexity_from_the_topic_distributions(spark):
+    """The value of the model's own method (which starts each text elsewhere, so a little apart), from the distributions that are
+    there; texts without known words count nothing."""
+    import math
+
+    from pyspark.ml.clustering import LDA
+
+    from clausegrid.learn.cluster import _log_gamma, log_perplexity, word_vectors
+
+    assert np.allclose(_log_gamma([1e-3, 0.1, 1.0, 2.5, 7.99, 8.0, 300.0]), [math.lgamma(x) for x in [1e-3, 0.1, 1.0, 2.5, 7.99, 8.0, 300.0]], rtol=1e-12, atol=1e-12)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 40, rng.integers(1, 60)) + 20 * (i % 3))) for i in range(120)]
+    df = spark.createDataFrame([*rows, (900, ""), (901, "once")], "doc int, text string").repartition(3)
+    data = word_vectors(df, "doc", "text", 30)
+    for k in (2, 5):
+        model = LDA(k=k, seed=7, maxIter=4).fit(data)
+        assert abs(log_perplexity(model, model.transform(data), 1.0 / k) / model.logPerplexity(data) - 1) < 1e-4
