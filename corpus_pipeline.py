@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import bpe, decontam, language, neardup, toxicity
+from clausegrid.llm.sieve import may_hold
 from clausegrid.session import load, materialize, passing_tables
 
 #: Texts are copies from this similarity of their word shingles on.
@@ -40,20 +41,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays; of repeated rows (doc_id and text) one stays.
-    Rows of a repeated doc_id are judged each by its own text."""
+    Rows of a repeated doc_id are judged each by its own text. Only rows whose doc_id may be repeated or of a copy move."""
     with passing_tables(spark):
         judged = neardup.near_duplicates(docs.select("doc_id", "text"), percent=COPY_PERCENT, named=True)
         judged = materialize(judged.select("doc_id", "sid", "kept"), "kept", lasting=True)
     gone = judged.filter(~F.col("kept")).select("doc_id", "sid").distinct()
     again = judged.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    maybe = may_hold(docs, "doc_id", gone.select("doc_id").union(again))
+    stay, docs = docs.filter(~maybe), docs.filter(maybe)
     left = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
-        return left
+        return stay.union(left)
     once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     names = neardup.sketches(once.select("text").distinct(), "text", "text").select(F.col("id").alias("text"), "sid")
     copies = gone.join(again, "doc_id").join(names, "sid").select("doc_id", "text")
     once = once.join(copies, ["doc_id", "text"], "left_anti").select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+    return stay.union(left.join(again, "doc_id", "left_anti").select(*docs.columns)).union(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from compare import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausegrid.llm import ORACLES, QUERIES, language, neardup, toxicity
+from clausegrid.llm import ORACLES, QUERIES, language, neardup, sieve, toxicity
 from clausegrid.session import load, scratch_path
 
 
@@ -192,6 +192,44 @@ def test_pipeline_judges_rows_of_a_repeated_key_by_their_texts(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(1, x), (5, y), (8, z), (8, None), (None, x), (None, x)]))
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    if hasattr(plan, "executedPlan") and "AdaptiveSparkPlan" in plan.nodeName():
+        return shuffled_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_pipeline_moves_no_texts_that_have_no_copy(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (400, texts[7]), (None, texts[9])], "doc_id long, text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [*range(400), None]))
+        assert shuffled_rows(left._jdf.queryExecution().executedPlan()) < 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_sieve_passes_every_key(spark, monkeypatch):
+    rows = spark.range(200_000).select(F.when(F.col("id") % 1000 != 1, F.col("id")).alias("k"))
+    keys = rows.filter("k % 100 = 0").unionByName(rows.filter("k is null")).withColumn("k", F.col("k").cast("int"))
+    for most in (sieve.MOST_BITS, sieve._ROW_BITS):
+        monkeypatch.setattr(sieve, "MOST_BITS", most)
+        seen = rows.withColumn("maybe", sieve.may_hold(rows, "k", keys))
+        counted = seen.groupBy(F.coalesce(F.col("k") % 100 == 0, F.lit(False)).alias("own"), "maybe").count().collect()
+        counted = {(r.own, r.maybe): r["count"] for r in counted}
+        assert counted[True, True] == 2_000 and (True, False) not in counted
+        assert sum(counted.values()) == 200_000
+        assert most == sieve._ROW_BITS or counted[False, True] < 8_000
+    none = rows.filter(sieve.may_hold(rows, "k", keys.limit(0)))
+    assert none.count() == 0
+
+
 def test_pipeline_keeps_texts_of_three_languages(spark, monkeypatch):
     judged = lambda d, model: d.withColumns({"lang_pred": F.when(F.col("doc_id") == 1, "und").otherwise("en"), "score": F.lit(0.34), "spans": F.lit(None)})
     monkeypatch.setattr(language, "draw", lambda docs: None)
