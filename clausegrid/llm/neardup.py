@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.llm.arrays import SHINGLE_WORDS, mix, shingle_sets
-from clausegrid.llm.sieve import may_hold
+from clausegrid.llm.sieve import sifted
 from clausegrid.session import materialize, passing_tables
 
 BINS, BAND_ROWS = 128, 5
@@ -184,7 +184,7 @@ def set_components(sets: DataFrame, rows: DataFrame, percent: int, count: int =
     shared = materialize(shared.join(shared.groupBy("sid").agg(F.sum("size").alias("pop")), "sid").select("h", "sid", "pop"), "buckets")
     wanted = sets.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("rep").alias("id"))
     wanted = materialize(wanted, "wanted")
-    maybe = rows.filter(may_hold(rows, "id", wanted.select("id")))
+    maybe, _ = sifted(rows, "id", wanted.select("id"))
     texts = materialize(_named(maybe.join(wanted, "id"), count), "texts")
     centres = shared.groupBy("h").agg(F.max(F.struct("pop", "sid")).alias("c")).select("h", F.col("c.sid").alias("a"))
     edges = shared.join(centres, "h").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()

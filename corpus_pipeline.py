@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import bpe, decontam, language, neardup, toxicity
-from clausegrid.llm.sieve import may_hold
+from clausegrid.llm.sieve import sifted
 from clausegrid.session import load, materialize, passing_tables
 
 #: Texts are copies from this similarity of their word shingles on.
@@ -46,9 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         judged = neardup.near_duplicates(docs.select("doc_id", "text"), percent=COPY_PERCENT, named=True)
         judged = materialize(judged.select("doc_id", "sid", "kept"), "kept", lasting=True)
     gone = judged.filter(~F.col("kept")).select("doc_id", "sid").distinct()
-    again = judged.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    maybe = may_hold(docs, "doc_id", gone.select("doc_id").union(again))
-    stay, docs = docs.filter(~maybe), docs.filter(maybe)
+    again = materialize(judged.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    docs, stay = sifted(docs, "doc_id", gone.select("doc_id").union(again))
     left = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return stay.union(left)

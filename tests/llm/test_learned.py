@@ -220,14 +220,13 @@ def test_sieve_passes_every_key(spark, monkeypatch):
     keys = rows.filter("k % 100 = 0").unionByName(rows.filter("k is null")).withColumn("k", F.col("k").cast("int"))
     for most in (sieve.MOST_BITS, sieve._ROW_BITS):
         monkeypatch.setattr(sieve, "MOST_BITS", most)
-        seen = rows.withColumn("maybe", sieve.may_hold(rows, "k", keys))
-        counted = seen.groupBy(F.coalesce(F.col("k") % 100 == 0, F.lit(False)).alias("own"), "maybe").count().collect()
-        counted = {(r.own, r.maybe): r["count"] for r in counted}
-        assert counted[True, True] == 2_000 and (True, False) not in counted
-        assert sum(counted.values()) == 200_000
-        assert most == sieve._ROW_BITS or counted[False, True] < 8_000
-    none = rows.filter(sieve.may_hold(rows, "k", keys.limit(0)))
-    assert none.count() == 0
+        maybe, sure = sieve.sifted(rows, "k", keys)
+        own = F.coalesce(F.col("k") % 100 == 0, F.lit(False))
+        assert maybe.filter(own).count() == 2_000 and sure.filter(own).count() == 0
+        assert maybe.count() + sure.count() == 200_000
+        assert most == sieve._ROW_BITS or maybe.count() < 12_000
+    maybe, sure = sieve.sifted(rows, "k", keys.limit(0))
+    assert maybe.count() == 0 and sure.count() == 200_000
 
 
 def test_pipeline_keeps_texts_of_three_languages(spark, monkeypatch):
