@@ -17,7 +17,6 @@ that a source has: terms that both lack add one constant, so no row is made for
 
 from __future__ import annotations
 
-from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -28,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausegrid.llm.arrays import row_blocks
 from clausegrid.session import materialize
 
-#: Entries that a task holds before it hands its counts on.
-HELD = 500_000
+#: Bytes of text whose words a task counts at once; a longer text is a block of its own.
+HELD = 16 << 20
+#: Bytes that a row takes of it besides its text.
+ROW_BYTES = 64
 #: Documents that a chunk can name.
 MOST_LEAST = 3
 SCALE = 1_000_000_000
@@ -54,45 +56,56 @@ def chunk_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
-    def handed(groups):
-        batches, packed = [], pa.ipc.IpcWriteOptions(compression="zstd")
-        for (lang, source), (n, held, first, last) in groups.items():
-            size = len(n)
-            counts = [np.fromiter(x, np.int64, size) for x in (n.values(), *(map(own.__getitem__, n) for own in (held, first, last)))]
-            counts[3] -= counts[2]
-            names = [pa.array([x]).cast(pa.binary()).take(pa.array(np.zeros(size, np.int64))) for x in (lang, source)]
-            batches.append(pa.RecordBatch.from_arrays([*names, pa.array(list(n), pa.binary()), *map(pa.array, counts)], schema=PART))
-        if not batches:
+    def handed(block: pa.Table, number: int):
+        packed = pa.ipc.IpcWriteOptions(compression="zstd")
+        codes: dict[tuple, int] = {}
+        group = np.array([codes.setdefault(own, len(codes)) for own in zip(*(block[c].to_pylist() for c in ("lang", "source")))], np.int64)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(block["text"].cast(pa.large_string()).combine_chunks()))
+        words = lists.flatten()
+        solid = pc.not_equal(pc.binary_length(words), 0)
+        doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[solid.to_numpy(zero_copy_only=False)]
+        words = words.filter(solid).dictionary_encode()
+        chunks = words.dictionary.cast(pa.large_binary())
+        if not len(chunks):
             return
-        table = pa.Table.from_batches(batches).combine_chunks()
-        of = np.concatenate([np.fromiter(map(crc32, n), np.int64, len(n)) for n, *_ in groups.values()]) % buckets
+        of = np.fromiter(map(crc32, chunks.to_pylist()), np.int64, len(chunks)) % buckets
         order = np.argsort(of, kind="stable")
-        table, ends = table.take(pa.array(order)).combine_chunks(), np.cumsum(np.bincount(of, minlength=buckets))
-        for batch in table.to_batches():
-            for k in np.flatnonzero(np.diff(ends, prepend=0)):
-                begin = ends[k - 1] if k else 0
-                with pa.ipc.new_stream(sink := pa.BufferOutputStream(), PART, options=packed) as stream:
-                    stream.write_batch(batch.slice(begin, ends[k] - begin))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "part"])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # One number for a word in a document: chunks by bucket, then groups, then documents.
+        key = (place[words.indices.to_numpy()] * len(codes) + group[doc]) * len(lists) + doc
+        key.sort()
+        pairs = np.flatnonzero(np.diff(key, prepend=-1))
+        key, doc = np.divmod(key[pairs], len(lists))
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        docs = np.diff(begin, append=len(key))
+        n = np.diff(pairs[begin], append=len(words))
+        first, last = doc[begin], doc[begin + docs - 1]
+        chunk, group = np.divmod(key[begin], len(codes))
+        ends = np.searchsorted(of[order][chunk], np.arange(buckets), "right")
+        names = [pa.array([own[k] for own in codes], pa.string()).cast(pa.binary()).take(pa.array(group)) for k in (0, 1)]
+        chunk = chunks.take(pa.array(order[chunk])).cast(pa.binary())
+        batch = pa.RecordBatch.from_arrays([*names, chunk, *map(pa.array, (n, docs, first + number, last - first))], schema=PART)
+        for k in np.flatnonzero(np.diff(ends, prepend=0)):
+            begin = ends[k - 1] if k else 0
+            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), PART, options=packed) as stream:
+                stream.write_batch(batch.slice(begin, ends[k] - begin))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "part"])
 
     def run(batches):
-        number, groups, held = TaskContext.get().partitionId() << 40, {}, 0
+        number, waiting, held = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())))):
-                number += 1
-                n, docs, first, last = groups.setdefault((lang, source), (Counter(), Counter(), {}, {}))
-                words = text.lower().split()
-                before = len(n)
-                n.update(words)
-                own = set(words)
-                docs.update(own)
-                last.update(dict.fromkeys(own, number))
-                first.update(dict.fromkeys(own.difference(first), number))
-                held += len(n) - before
-                if held > HELD:
-                    yield from handed(groups)
-                    groups, held = {}, 0
-        yield from handed(groups)
+            sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) + ROW_BYTES
+            for a, b in row_blocks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), HELD):
+                size = int(sizes[a:b].sum())
+                if waiting and held + size > HELD:
+                    block = pa.Table.from_batches(waiting)
+                    yield from handed(block, number)
+                    number, waiting, held = number + len(block), [], 0
+                waiting.append(batch.slice(a, b - a))
+                held += size
+        if waiting:
+            yield from handed(pa.Table.from_batches(waiting), number)
 
     return rows.mapInArrow(run, "bucket int, part binary")
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,22 @@ def report(rows, least=3, listed=200):
     return sorted(out)
 
 
+def test_words_of_many_documents_are_handed_on_together(spark):
+    """Twelve documents of 50,000 words each, all distinct, in one task: one part a bucket, with every count right."""
+    texts = [" ".join(f"w{k * 50_000 + j}" for j in range(50_000)) for k in range(12)] + [" \x0b Ab\tab\x1cC \xc4b aB ", "", None]
+    rows = [("en", "s" if k % 2 else None, t) for k, t in enumerate(texts)]
+    parts = divergence.chunk_counts(spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1), 4).collect()
+    assert sorted(r.bucket for r in parts) == [0, 1, 2, 3]
+    read = [pa.ipc.open_stream(r.part).read_all() for r in parts]
+    assert all(zlib.crc32(c) % 4 == r.bucket for r, t in zip(parts, read) for c in t["chunk"].to_pylist())
+    own = [r for r in pa.concat_tables(read).to_pylist() if not r["chunk"].startswith(b"w")]
+    first = {r.pop("first") for r in own}
+    same = {"lang": b"en", "source": b"", "docs": 1, "span": 0}
+    want = [{**same, "chunk": c, "n": n} for c, n in Counter(texts[12].encode().lower().split()).items()]
+    assert len(first) == 1 and sorted(map(str, (sorted(r.items()) for r in own))) == sorted(map(str, (sorted(r.items()) for r in want)))
+    assert sum(t.num_rows for t in read) == 600_000 + len(want)
+
+
 def test_divergence_counts(spark, monkeypatch):
     monkeypatch.setattr(divergence, "HELD", 20)
     draw = random.Random(16)
