@@ -416,3 +416,32 @@ def test_perplexity_from_the_topic_distributions(spark):
     for k in (2, 5):
         model = LDA(k=k, seed=7, maxIter=4).fit(data)
         assert abs(log_perplexity(model, model.transform(data), 1.0 / k) / model.logPerplexity(data) - 1) < 1e-4
+
+
+def test_affinity_of_all_pairs_equals_dense_algorithm(spark):
+    """Every pair of a group counts, not the nearest of a row; groups in one task and in blocks agree."""
+    from clausegrid.learn import dense
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    rows = [(i, [float(v) for v in r], i // 30) for i, r in enumerate(x)] + [(40, [0.0, 0.0, 0.0], None), (41, None, 0)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, grp int")
+    nodes = df.select(F.col("grp").cast("string").alias("g"), "id")
+    pairs = U.neighbour_similarities(df, "id", "vec", "grp")
+    got = {r.id: r.exemplar for r in U.affinity(pairs, nodes, untie=True).collect()}
+    want = {40: 40, 41: 41}  # alone, and without a vector
+    for part in (np.arange(30), np.arange(30, 40)):
+        s = -pairwise(x[part]) ** 2
+        np.fill_diagonal(s, np.median(s[~np.eye(len(part), dtype=bool)]))
+        want.update(zip(part.tolist(), part[dense_affinity(s, 200)].tolist()))
+    assert got == want
+    cut = dense.dense_affinity(pairs, nodes, None, 0.5, 2000, 15, False, True, pairs=150, block_pairs=400)
+    assert {r.id: r.exemplar for r in cut.collect()} == want
+    with pytest.raises(RuntimeError, match="settle"):
+        U.affinity(pairs, nodes, rounds=10)
+
+
+def test_equal_rows_and_repeated_ids_have_exemplars(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0], "a") for i in range(3)] + [(7, [5.0, 5.0], "b"), (8, [0.0, 1.0], "a"), (8, [0.0, 1.0], "a")], "id long, vec array<double>, g string")
+    got = sorted((r.id, r.exemplar) for r in U.affinity(U.neighbour_similarities(df, "id", "vec", "g"), df.select("g", "id"), untie=True, partial=True).collect())
+    assert [i for i, _ in got] == [0, 1, 2, 7, 8, 8] and got[3] == (7, 7)
