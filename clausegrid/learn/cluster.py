@@ -116,14 +116,15 @@ def log_perplexity(model: LDAModel, scored: DataFrame, eta: float) -> float:
     return float(-bound / total[1])
 
 
-def _lda(data: DataFrame, k: int, seed: int, rounds: int) -> LDAModel:
-    return LDA(k=k, seed=seed, maxIter=rounds, topicConcentration=1.0 / k).fit(data)
+def _lda(data: DataFrame, k: int, seed: int, rounds: int, **how: float) -> LDAModel:
+    return LDA(k=k, seed=seed, maxIter=rounds, topicConcentration=1.0 / k, **how).fit(data)
 
 
-def lda_topics(df: DataFrame, key: str, col: str, k: int = 10, seed: int = 7, vocabulary: int = 20000, rounds: int = 10):
-    """((key, topic, weight), log perplexity): the strongest of k topics per text."""
+def lda_topics(df: DataFrame, key: str, col: str, k: int = 10, seed: int = 7, vocabulary: int = 20000, passes: int = 20):
+    """((key, topic, weight), log perplexity): the strongest of k topics per text. Each pass learns from all texts, and the first
+    ones move the topics most; otherwise a round would draw a twentieth of the texts and move the topics by 3 %."""
     data = word_vectors(df, key, col, vocabulary)
-    model = _lda(data, k, seed, rounds)
+    model = _lda(data, k, seed, passes, subsamplingRate=1.0, learningOffset=1.0)
     scored = model.transform(data)
     dist = vector_to_array("topicDistribution")
     best = F.array_max(dist)
