@@ -456,3 +456,24 @@ def test_topics_learn_from_all_texts(spark):
     sides = [{r.topic for r in rows if r.id % 2 == j} for j in (0, 1)]
     assert len(rows) == 120 and [len(s) for s in sides] == [1, 1] and sides[0] != sides[1]
     assert min(r.weight for r in rows) > 0.9 and perplexity < 2.59  # 2.64 with rounds over a twentieth of the texts
+
+
+def test_chosen_topics_have_the_bound_of_their_distributions(spark, monkeypatch):
+    """The model's own method makes the expectations of the whole vocabulary for each text, so it is not called."""
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{w}" for w in rng.integers(0, 40, 25) + 20 * (i % 3))) for i in range(90)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    data = U.word_vectors(df, "id", "t", 20000)
+    want = {k: U._lda(data, k, 7, 4).logPerplexity(data) for k in (2, 3)}
+    monkeypatch.delattr(U.LDAModel, "logPerplexity")
+    rows = U.choose_topics(df, "id", "t", [2, 3], rounds=4).collect()
+    assert {r.k: r.log_perplexity for r in rows} == pytest.approx(want, rel=0.05)
+
+
+def test_only_shared_remainders_move(spark):
+    few = spark.createDataFrame([("tarif",), ("qu0ta",)], "a string")
+    many = spark.createDataFrame([(f"filler number {i}",) for i in range(300)] + [("tariff",), ("quota",)], "b string")
+    for left, right, cols in ((few, many, "ab"), (many, few, "ba")):
+        joined = E.edit_join(left, cols[0], right, cols[1], 2)
+        assert {(r.a, r.b, r.distance) for r in joined.collect()} == {("tarif", "tariff", 1), ("qu0ta", "quota", 1)}
+        assert "bitmap_construct_agg" in joined._jdf.queryExecution().optimizedPlan().toString()
