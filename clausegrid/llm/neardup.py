@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.llm.arrays import SHINGLE_WORDS, mix, shingle_sets
-from clausegrid.llm.sieve import sifted
+from clausegrid.operators.sieve import sifted
 from clausegrid.session import materialize, passing_tables
 
 BINS, BAND_ROWS = 128, 5

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import bpe, decontam, language, neardup, toxicity
-from clausegrid.llm.sieve import sifted
+from clausegrid.operators.sieve import sifted
 from clausegrid.session import load, materialize, passing_tables
 
 #: Texts are copies from this similarity of their word shingles on.
