@@ -465,9 +465,10 @@ def test_chosen_topics_have_the_bound_of_their_distributions(spark, monkeypatch)
     df = spark.createDataFrame(texts, "id long, t string")
     data = U.word_vectors(df, "id", "t", 20000)
     want = {k: U._lda(data, k, 7, 4).logPerplexity(data) for k in (2, 3)}
+    monkeypatch.setattr(U, "word_vectors", lambda *_: data)  # a round draws by the layout of the table
     monkeypatch.delattr(U.LDAModel, "logPerplexity")
     rows = U.choose_topics(df, "id", "t", [2, 3], rounds=4).collect()
-    assert {r.k: r.log_perplexity for r in rows} == pytest.approx(want, rel=0.05)
+    assert {r.k: r.log_perplexity for r in rows} == pytest.approx(want, rel=0.01)
 
 
 def test_only_shared_remainders_move(spark):
